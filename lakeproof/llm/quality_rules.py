@@ -21,16 +21,11 @@ from lakeproof.llm.tables import cut
 
 SPACE = r"[\x20\x09-\x0D]+"
 
-# Frequent words of four languages.
-COMMON_WORDS = (
-    "the of and to in is that it for was on are as with be by at this from or "
-    "de la le et les des un du une que est pour qui dans par pas au sur "
-    "der die und den von zu das mit ist dem nicht ein für "
-    "el en los del se las por para con no su lo y a"
-).split()
+# Frequent words of four languages, counted in lower case and without punctuation beside them.
+COMMON_WORDS = "the of and to in is de la le et les que der die und zu das ist el en los y un a".split()
 
-# One-byte character classes; what is left is lower case letters and non-ASCII characters.
-CLASSES = {"upper": "A-Z", "digit": "0-9", "space": r"\x09-\x0D\x20", "stop": r".,;:!?'\x22()\-", "symbol": r"#*$%&|<>", "rare": r"\x00-\x08\x0E-\x1F@\[\\\]^_`{}~+=/\x7F"}
+# One-byte character classes. Bytes beyond ASCII, white space and all that is left follow them.
+CLASSES = {"comma": ",", "stop": ".", "digit": "0123456789", "symbol": "#*$%&|<>"}
 
 
 @dataclass(frozen=True)
@@ -40,8 +35,8 @@ class QualityParams:
     #: Least characters and least common words for a histogram to be judged.
     min_chars: int = 200
     min_common: int = 40
-    max_char_distance: float = 0.25
-    max_word_distance: float = 0.60
+    max_char_distance: float = 0.20
+    max_word_distance: float = 0.50
     #: Languages up to this number are sent to every executor; beyond, the references are joined by shuffle.
     broadcast_languages: int = 10_000
 
@@ -50,17 +45,24 @@ def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``id_col, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, char_hist, word_hist``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), text.alias("text"))
-    own = [F.length(F.regexp_replace("text", f"[^{chars}]+", "")).cast("long") for chars in CLASSES.values()]
+
+    def count(marks: str) -> Column:
+        """Characters of the text among ``marks``."""
+        if len(marks) == 1:
+            return (F.length("text") - F.length(F.replace("text", F.lit(marks), F.lit("")))).cast("long")
+        return F.length(F.regexp_replace("text", f"[^{marks}]+", "")).cast("long")
+
+    spaced = F.col("text")
+    for mark in "\t\n\x0b\x0c\r":
+        spaced = F.replace(spaced, F.lit(mark), F.lit(" "))
     rows = rows.select(
         id_col,
         "lang",
-        F.array_remove(F.split("text", SPACE), "").alias("words"),
+        F.array_remove(F.split(spaced, " "), "").alias("words"),
         F.filter(F.split("text", "\n"), lambda x: F.trim(x, F.lit(" \t\x0b\x0c\r")) != "").alias("lines"),
         F.length("text").cast("long").alias("n_chars"),
-        F.array(*own).alias("classes"),
+        F.array(*map(count, CLASSES.values()), (F.octet_length("text") - F.length("text")).cast("long")).alias("classes"),
     )
-    cleaned = lambda w: F.trim(F.lower(w), F.lit(".,;:!?"))
-    bins = F.array(*map(F.lit, COMMON_WORDS))
     rows = rows.select(
         id_col,
         "lang",
@@ -70,28 +72,24 @@ def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
-        F.array_remove(F.transform("words", lambda w: F.when(F.length(w) <= 6, F.array_position(bins, cleaned(w))).otherwise(F.lit(0).cast("long"))), 0).alias("common"),
+        F.filter("words", lambda w: w.isin(*COMMON_WORDS)).alias("common"),
     )
-    # Each 3-word window as one long: the hash's high bits, then its place in as few bits as the text needs.
-    bits = F.length(F.bin(F.col("n_words"))).alias("bits")
-    rows = rows.select("*", bits)
+    # Each 3-word window as one long: a hash, then its place in as few bits as the text needs.
+    right, left = (lambda x, n, f=f: F.call_function(f, x, n) for f in ("shiftright", "shiftleft"))
+    rows = rows.withColumn("bits", F.length(F.bin(F.col("n_words"))))
     packed = F.transform(
         F.slice("hashes", 1, F.greatest(F.col("n_words") - 2, F.lit(0)).cast("int")),
-        lambda h, i: F.call_function("shiftleft", F.call_function("shiftright", F.xxhash64(h, F.get("hashes", i + 1), F.get("hashes", i + 2)), F.col("bits")), F.col("bits")).bitwiseOR(i.cast("long")),
+        lambda h, i: left(F.xxhash64(h, F.get("hashes", i + 1), F.get("hashes", i + 2)), F.col("bits")).bitwiseOR(i),
     )
     rows = rows.select(id_col, "lang", "n_chars", "classes", "n_words", "word_chars", "n_dup_lines", "common", "bits", F.sort_array(packed).alias("windows"))
-    same = lambda x, other: F.call_function("shiftright", x.bitwiseXOR(other), F.col("bits")) == 0
-    twice = F.transform(
-        "windows",
-        lambda x, i: F.when(
-            F.coalesce(same(x, F.get("windows", i - 1)), F.lit(False)) | F.coalesce(same(x, F.get("windows", i + 1)), F.lit(False)),
-            x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bits")) - 1),
-        ).otherwise(F.lit(-1).cast("long")),
-    )
-    rows = rows.withColumn("places", F.sort_array(F.array_remove(twice, -1)))
+    twins = F.zip_with("windows", F.slice("windows", 2, F.greatest(F.size("windows"), F.lit(1))), lambda a, b: F.when(right(a.bitwiseXOR(b), F.col("bits")) == 0, F.array(a, b)))
+    rows = rows.withColumn("twins", F.filter(twins, lambda x: x.isNotNull()))
+    place = lambda x: x.bitwiseAND(left(F.lit(1).cast("long"), F.col("bits")) - 1)
+    rows = rows.withColumn("places", F.sort_array(F.transform(F.array_distinct(F.flatten("twins")), place)))
     gaps = F.zip_with("places", F.slice("places", 2, F.greatest(F.size("places"), F.lit(1))), lambda a, b: F.least(F.coalesce(b - a, F.lit(3)), F.lit(3)).cast("long"))
-    char_hist = F.concat("classes", F.array(F.col("n_chars") - F.aggregate("classes", F.lit(0).cast("long"), lambda s, x: s + x)))
-    word_hist = F.array(*[(F.size("common") - F.size(F.array_remove("common", j + 1))).cast("long") for j in range(len(COMMON_WORDS))])
+    total = F.aggregate("classes", F.lit(0).cast("long"), lambda s, x: s + x)
+    char_hist = F.concat("classes", F.array(F.col("n_chars") - F.col("word_chars"), F.col("word_chars") - total))
+    word_hist = F.array(*[(F.size("common") - F.size(F.array_remove("common", w))).cast("long") for w in COMMON_WORDS])
     return rows.select(
         id_col,
         "lang",
@@ -111,7 +109,7 @@ def references(counts: DataFrame) -> DataFrame:
     def total(name: str, n: int) -> Column:
         return F.array(*[F.sum(F.col(name)[i]).cast("double") for i in range(n)])
 
-    return counts.groupBy("lang").agg(total("char_hist", len(CLASSES) + 1).alias("char_ref"), total("word_hist", len(COMMON_WORDS)).alias("word_ref"))
+    return counts.groupBy("lang").agg(total("char_hist", len(CLASSES) + 3).alias("char_ref"), total("word_hist", len(COMMON_WORDS)).alias("word_ref"))
 
 
 def js_distance(p: Column | str, q: Column | str) -> Column:
