@@ -5,15 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lakeproof.llm import sql
+from lakeproof.llm.decontamination import contamination
+from lakeproof.llm.license_scan import license_scan
+from lakeproof.llm.near_duplicates import near_duplicates
 from lakeproof.llm.quality_rules import quality_rules
 from lakeproof.llm.tables import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op3_quality_rules": op3_quality_rules,
+    "op8_near_duplicates": op8_near_duplicates,
+    "op9_decontamination": op9_decontamination,
 }
 ORACLE = sql.ORACLE

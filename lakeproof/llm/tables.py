@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +14,24 @@ from pyspark.sql import functions as F
 _DIRS: list[tuple[SparkSession, str]] = []
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package's source to the Python workers, once per application."""
+    context = spark.sparkContext
+    if getattr(context, "_lakeproof_sent", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    path = Path(tempfile.mkdtemp(prefix="lakeproof-")) / "lakeproof-workers.zip"
+    path.write_bytes(held.getvalue())
+    context.addPyFile(str(path))
+    context._lakeproof_sent = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
