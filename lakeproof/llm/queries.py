@@ -12,9 +12,10 @@ from lakeproof.llm.license_scan import license_scan
 from lakeproof.llm.lm_scoring import lm_scores
 from lakeproof.llm.near_duplicates import near_duplicates
 from lakeproof.llm.quality_rules import quality_rules
+from lakeproof.llm.sentence_pieces import encode_documents, read_model
 from lakeproof.llm.sharding import shard_documents
 from lakeproof.llm.substrings import remove_repeats
-from lakeproof.llm.tables import held_out, table
+from lakeproof.llm.tables import held_out, table, tokenizer_path
 from lakeproof.llm.toxicity import fit, labelled, toxicity
 
 
@@ -36,6 +37,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs.select("doc_id", held_out(F.col("doc_id"), 5).alias("held_out"), "text"), grammar)
 
 
+def op5_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), read_model(tokenizer_path()))
+
+
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
@@ -57,6 +62,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -64,11 +75,13 @@ QUERIES = {
         op2_html_extraction,
         op3_quality_rules,
         op4_toxicity,
+        op5_sentence_pieces,
         op6_lm_scoring,
         op7_sharding,
         op8_near_duplicates,
         op9_decontamination,
         op10_substring_dedup,
+        pipeline,
     )
 }
 ORACLE = sql.ORACLE

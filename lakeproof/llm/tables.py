@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import os
 import tempfile
 import uuid
 import zipfile
@@ -73,3 +74,12 @@ def crc(column: Column) -> Column:
 def held_out(key: Column, parts: int) -> Column:
     """True for the rows kept out of learning: crc32 of the key's text is a multiple of ``parts``; a null key never is."""
     return F.coalesce(crc(key) % parts == 0, F.lit(False))
+
+
+def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
+    """A public tokenizer file: in the folder that ``LAKEPROOF_TOKENIZERS`` names, else where the installed package has it."""
+    if own := os.environ.get("LAKEPROOF_TOKENIZERS"):
+        return os.path.join(own, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
