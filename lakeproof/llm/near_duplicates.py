@@ -7,7 +7,7 @@
    each class is listed only under its ``k - t + 1`` rarest values.
 3. Candidates of a list are compared with its most central members first; then what is outside the list's main
    component with eight members inside it; last, whatever is still in different components with everything, where
-   the shingles that each side shares with any other class of the open lists leave the threshold in reach. Pairs
+   bit marks of the shingles that each side shares with any other class of the open lists leave the threshold in reach. Pairs
    that are already connected need no comparison, so large groups cost about their size.
 4. The share of the union's bottom-k that both sides hold estimates the similarity and drops pairs five standard
    deviations below the threshold; the rest is confirmed on the full sets.
@@ -40,6 +40,8 @@ class NearDuplicateParams:
     k: int = 48
     #: Ids up to this number (8 bytes each) are broadcast to pick texts; more are joined by shuffle.
     broadcast_ids: int = 1_000_000
+    #: 64-bit words of the marks that bound what two classes can share in the last step.
+    mark_words: int = 64
 
     @property
     def overlap(self) -> int:
@@ -133,11 +135,28 @@ def _listed(classes: DataFrame, params: NearDuplicateParams) -> DataFrame:
     return shared.select("rep", "n", central.alias("central"), F.explode(F.slice("shared", 1, left)).alias("x")).select("rep", "n", "central", F.col("x.value").alias("value"))
 
 
-def _shared_sizes(sets: DataFrame, rows: DataFrame) -> DataFrame:
-    """``rep, most``: how many of a class's shingles some other class of ``rows`` holds too."""
+def _marks(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, marks = [], []
+            for x in batch.column(1):
+                held = x.values.to_numpy()
+                places = wd.mix(held.view(np.uint64)) % np.uint64(64 * words)
+                own = np.zeros(64 * words, np.uint8)
+                own[places.astype(np.int64)] = 1
+                sizes.append(len(held))
+                marks.append(np.packbits(own, bitorder="little").view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(marks, pa.list_(pa.int64()))], names=["rep", "most", "marks"])
+
+    return run
+
+
+def _shared_marks(sets: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """``rep, most, marks``: how many of a class's shingles some other class of ``rows`` holds too, and a bit for the place of each."""
     held = sets.join(rows.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", F.explode("held").alias("shingle"))
     common = held.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
-    return held.join(common, "shingle", "left_semi").groupBy(F.col("id").alias("rep")).agg(F.count("*").alias("most"))
+    own = held.join(common, "shingle", "left_semi").groupBy(F.col("id").alias("rep")).agg(F.collect_list("shingle").alias("held"))
+    return own.mapInArrow(_marks(words), f"rep {sets.schema['id'].dataType.simpleString()}, most long, marks array<long>")
 
 
 def near_duplicates(docs: DataFrame, params: NearDuplicateParams = NearDuplicateParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -167,17 +186,22 @@ def near_duplicates(docs: DataFrame, params: NearDuplicateParams = NearDuplicate
         if not rows.head(1):
             break
         if not heads_of_main:  # at most what a class shares with any other of the open lists can be in common
-            rows = cut(rows.join(_shared_sizes(sets, rows), "rep"), "open-shared")
+            rows = cut(rows.join(_shared_marks(sets, rows, params.mark_words), "rep"), "open-shared")
         else:
-            rows = rows.withColumn("most", F.col("n"))
+            rows = rows.withColumns({"most": F.col("n"), "marks": F.lit(None).cast("array<long>")})
         rows = rows.where(100 * F.col("most") >= params.percent * F.col("n"))
-        side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "most", "component")]
+        side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "most", "marks", "component")]
         apart = rows.where("component != main").select("value", *side("x"))
         against = rows.select("value", "central", "main", *side("y"))
         if heads_of_main:
             rank = F.row_number().over(W.partitionBy("value").orderBy(F.desc("central"), "rep_y"))
             against = against.where("component_y = main").withColumn("rank", rank).where(F.col("rank") <= heads_of_main)
-        near = (100 + params.percent) * F.least("most_x", "most_y") >= params.percent * (F.col("n_x") + F.col("n_y"))
+        # A shared shingle sets a bit in both; bits that several shingles of a side share can hide as many.
+        bits = lambda of: F.aggregate(of, F.lit(0).cast("long"), lambda s, x: s + F.bit_count(x))
+        both = bits(F.zip_with("marks_x", "marks_y", lambda x, y: x.bitwiseAND(y)))
+        hidden = F.least(F.col("most_x") - bits(F.col("marks_x")), F.col("most_y") - bits(F.col("marks_y")))
+        in_reach = lambda shared: (100 + params.percent) * shared >= params.percent * (F.col("n_x") + F.col("n_y"))
+        near = in_reach(F.least("most_x", "most_y")) & F.coalesce(in_reach(both + hidden), F.lit(True))
         links.add(apart.join(against, (apart["value"] == against["value"]) & (F.col("component_x") != F.col("component_y")) & near).select(F.col("rep_x").alias("x"), F.col("rep_y").alias("y")))
 
     groups = classes.join(links.of(), "rep", "left").select("key", "n", F.coalesce("component", "rep").alias("component"))
