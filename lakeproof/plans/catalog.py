@@ -417,12 +417,13 @@ def entropy_top3(spark, sf_dir):
 
 @query(
     """WITH e AS (SELECT event_type AS model, (event_id % 3)::INT AS repeat, value::DOUBLE AS v FROM events)
-SELECT model, repeat, count(*) AS n, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.9), 6) AS p90, round(quantile_cont(v, 0.95), 6) AS p95, round(quantile_cont(v, 0.99), 6) AS p99, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS sd, round(min(v), 6) AS least, round(max(v), 6) AS largest
+SELECT model, coalesce(repeat, -1)::INT AS repeat, count(*) AS n, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.9), 6) AS p90, round(quantile_cont(v, 0.95), 6) AS p95, round(quantile_cont(v, 0.99), 6) AS p99, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS sd, round(min(v), 6) AS least, round(max(v), 6) AS largest
 FROM e GROUP BY GROUPING SETS ((model, repeat), (model))"""
 )
 def latency_percentiles(spark, sf_dir):
     rows = table(spark, sf_dir, "events").withColumn("repeat", (F.col("event_id") % 3).cast("int"))
-    return _rounded(records.latency(rows, "event_type", "repeat", "value"))
+    # -1 stands for all repeats together.
+    return _rounded(records.latency(rows, "event_type", "repeat", "value")).withColumn("repeat", F.coalesce("repeat", F.lit(-1)))
 
 
 @query("""SELECT event_type, round(list_sort(list(value))[least(count(*) - 1, floor(0.95 * count(*)))::INT + 1], 6) AS p95_n, round(list_sort(list(value))[floor((count(*) - 1) * 0.95)::INT + 1], 6) AS p95_n1 FROM events GROUP BY 1""")
