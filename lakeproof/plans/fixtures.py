@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeproof.functions.scalars import softmax, unit_number
+from lakeproof.session import ship
 
 CLASSES = 10
 SEEDS = (42, 123, 2026)
@@ -15,6 +16,7 @@ GAINS = {"large": 1.8, "medium": 1.6, "small": 1.3}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
