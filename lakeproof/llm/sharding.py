@@ -1,8 +1,8 @@
 """Sharding by balanced label propagation.
 
 Nodes have sizes and belong to link groups (here: documents of equal text). Labels start at random; in every
-round a join brings each group the weights of its members' shards, members ask for the heaviest, and requests are
-granted while the shard's quota lasts: whole groups at a time, members singly where a group is large against a
+round a join brings each group the weights of its members' shards, members ask for the heaviest with room, and
+requests are granted while the shard's quota lasts: whole groups at a time, members singly where a group is large against a
 shard. Then sizes are made even exactly: what lies beyond a shard's share of the total, and all nodes without
 links, is laid out in one order and cut at the shards' remaining room, so a shard's size differs from the share by
 less than two rows. Running sums are taken in two levels, over buckets and inside them.
@@ -26,11 +26,13 @@ from lakeproof.llm.tables import cut
 @dataclass(frozen=True)
 class ShardParams:
     shards: int = 16
-    rounds: int = 6
+    rounds: int = 16
     #: Rows of a bucket of the running sums, about.
     bucket_rows: int = 5_000
     #: A group beyond this share of a shard moves member by member.
     large: float = 0.05
+    #: A shard takes no more links from this share of its room.
+    full: float = 0.97
 
 
 def _chance(*of) -> Column:
@@ -42,10 +44,12 @@ def propagate(nodes: DataFrame, share: float, params: ShardParams) -> DataFrame:
     """``nodes`` (``id, grp, size, own_size``: of its group) with a ``label`` each."""
     state = cut(nodes.withColumn("label", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(params.shards)).cast("int")), "labels")
     for turn in range(params.rounds):
-        weights = state.groupBy("grp", "label").agg(F.sum("size").alias("w"))
+        load = {r.label: r.s for r in state.groupBy("label").agg(F.sum("size").alias("s")).collect()}  # a row per shard
+        full = [s for s, x in load.items() if x >= params.full * share]
+        # Members in full shards stay; the others ask for their heaviest shard that has room.
+        weights = state.where(~F.col("label").isin(full)).groupBy("grp", "label").agg(F.sum("size").alias("w"))
         wish = weights.groupBy("grp").agg(F.max_by("label", F.struct("w", "label")).alias("wish"))
-        asked = cut(state.join(wish, "grp"), "asked")
-        load = {r.label: r.s for r in asked.groupBy("label").agg(F.sum("size").alias("s")).collect()}  # a row per shard
+        asked = cut(state.join(wish, "grp", "left").withColumn("wish", F.when(F.col("label").isin(full), F.col("label")).otherwise(F.coalesce("wish", "label"))), "asked")
         demand = {r.wish: r.s for r in asked.where("wish != label").groupBy("wish").agg(F.sum("size").alias("s")).collect()}
         grant = {s: min(1.0, max(0.0, share - load.get(s, 0)) / d) for s, d in demand.items() if d}
         if not any(g > 1e-3 for g in grant.values()):
