@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeproof.functions import scalars as fn
-from lakeproof.operators import compare, dedup, fieldlog, metrics, policy, records, splits
+from lakeproof.operators import compare, dedup, fieldlog, images, metrics, policy, records, selection, splits
 from lakeproof.plans.fixtures import CLASSES, GAINS, RELEASES_SQL, SEEDS, journal_images, journal_lines, preds, preds_sql, releases, table
 from lakeproof.sources import files
 
@@ -482,3 +482,107 @@ def frozen_report(spark, sf_dir):
 @query()
 def table_digest(spark, sf_dir):
     return files.digest(table(spark, sf_dir, "orders"), "o_orderkey")
+
+
+@query("""SELECT x.c::INT AS cls, coalesce(n, 0) AS n, round(sum(coalesce(n, 0)) OVER () / (12 * greatest(coalesce(n, 0), 1)), 6)::DOUBLE AS weight FROM (SELECT unnest(range(12)) AS c) x LEFT JOIN (SELECT label AS c, count(*) AS n FROM embeddings GROUP BY 1) USING (c)""")
+def class_weights(spark, sf_dir):
+    return _rounded(selection.class_histogram(table(spark, sf_dir, "embeddings"), "label", 12))
+
+
+@query("""SELECT doc_id FROM documents ORDER BY ('0x' || substr(md5('42:' || doc_id), 1, 8))::BIGINT, doc_id LIMIT 30""")
+def seeded_sample(spark, sf_dir):
+    return selection.sample(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 30)
+
+
+@query("""(SELECT doc_id, n_chars, 'low' AS "end" FROM documents ORDER BY n_chars, doc_id LIMIT 3) UNION ALL (SELECT doc_id, n_chars, 'high' FROM documents ORDER BY n_chars DESC, doc_id LIMIT 3)""")
+def size_extremes(spark, sf_dir):
+    return selection.extremes(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id")
+
+
+@query(f"""WITH {preds_sql()}, f AS (SELECT *, row_number() OVER (PARTITION BY y_true, y_pred ORDER BY conf DESC, test_index) AS r FROM top WHERE y_true <> y_pred) SELECT test_index, y_true, y_pred::INT AS y_pred, round(conf, 6) AS conf FROM f WHERE r = 1 ORDER BY conf DESC, test_index LIMIT 4""")
+def distinct_errors(spark, sf_dir):
+    return _rounded(selection.distinct_errors(_top(spark, sf_dir)).select("test_index", "y_true", "y_pred", "conf"))
+
+
+@query(f"""WITH {_HAMMING}, o AS (SELECT a, b, row_number() OVER (ORDER BY distance, a, b) - 1 AS i FROM h WHERE distance <= 20) SELECT a, b, i // 6 AS page, i % 6 AS place FROM o""")
+def pair_pages(spark, sf_dir):
+    return selection.pages(_pairs(spark, sf_dir), [F.col("distance"), F.col("a"), F.col("b")], 6).select("a", "b", F.col("page").cast("long").alias("page"), F.col("place").cast("long").alias("place"))
+
+
+@query(f"""WITH {_HAMMING} (SELECT a, b, distance, 'closest' AS kind FROM h WHERE distance <= 20 ORDER BY distance, a, b LIMIT 1) UNION ALL (SELECT a, b, distance, 'farthest' FROM h WHERE distance <= 18 ORDER BY distance DESC, a, b LIMIT 1)""")
+def pair_samples(spark, sf_dir):
+    return selection.pair_samples(_pairs(spark, sf_dir), 18)
+
+
+@query(
+    """WITH e AS (SELECT event_type AS run, row_number() OVER (PARTITION BY event_type ORDER BY event_id)::INT AS epoch, value AS f1 FROM events), b AS (SELECT *, max(f1) OVER (PARTITION BY run ORDER BY epoch ROWS UNBOUNDED PRECEDING) AS best, max(f1) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e)
+SELECT run, epoch, best, epoch - max(CASE WHEN before IS NULL OR f1 > before THEN epoch END) OVER (PARTITION BY run ORDER BY epoch ROWS UNBOUNDED PRECEDING) AS waited FROM b WHERE epoch <= 200"""
+)
+def training_progress(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("run"), F.row_number().over(W.partitionBy("event_type").orderBy("event_id")).alias("epoch"), F.col("value").alias("f1"))
+    return selection.training_progress(e, "run", "epoch", "f1").where("epoch <= 200").select("run", "epoch", "best", "waited")  # the first 200 epochs are the report
+
+
+@query(
+    """WITH RECURSIVE g AS (SELECT n_nationkey AS "case", 0 AS step, (1000 + 7919 * n_nationkey)::BIGINT AS s FROM nation UNION ALL SELECT "case", step + 1, (s * 1103515245 + 12345) & 2147483647 FROM g WHERE step < 5)
+SELECT "case", step::INT AS step, round(s / 2147483648.0::DOUBLE, 6) AS value FROM g WHERE step > 0"""
+)
+def parity_cases(spark, sf_dir):
+    return _rounded(selection.parity_cases(table(spark, sf_dir, "nation"), "n_nationkey", 5))
+
+
+@query("""SELECT lang, count(*) AS found, 100::BIGINT AS declared, count(*) - 100 AS delta FROM documents WHERE lang <> 'es' GROUP BY 1""")
+def declared_totals(spark, sf_dir):
+    declared = spark.createDataFrame([(x, 100) for x in ("en", "fr", "de")], "lang string, declared long")
+    return selection.declared_totals(table(spark, sf_dir, "documents"), declared, "lang").where("declared is not null")
+
+
+@query(
+    """WITH c AS (SELECT vec_id, i, 100 * embedding[i + 1]::DOUBLE AS v FROM embeddings, (SELECT unnest(range(64)) AS i)),
+l AS (SELECT m.vec_id, a.v + b.v + t.v + u.v - 4 * m.v AS l FROM c m JOIN c a ON a.vec_id = m.vec_id AND a.i = m.i - 1 JOIN c b ON b.vec_id = m.vec_id AND b.i = m.i + 1 JOIN c t ON t.vec_id = m.vec_id AND t.i = m.i - 8 JOIN c u ON u.vec_id = m.vec_id AND u.i = m.i + 8 WHERE m.i % 8 BETWEEN 1 AND 6 AND m.i // 8 BETWEEN 1 AND 6)
+SELECT c.vec_id, round(avg(v), 4) AS brightness, round(stddev_pop(v), 4) AS contrast, round(any_value(q), 4) AS laplacian, CASE WHEN any_value(q) < 100 THEN 'blurry' WHEN any_value(q) < 300 THEN 'soft' ELSE 'sharp' END AS sharpness FROM c JOIN (SELECT vec_id, var_pop(l) AS q FROM l GROUP BY 1) x ON x.vec_id = c.vec_id GROUP BY 1"""
+)
+def image_quality(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: 100 * x.cast("double")).alias("px"))
+    mean, sd = images.contrast(F.col("px"))
+    q = images.laplacian_variance(F.col("px"), 8)
+    return _rounded(rows.select("vec_id", mean.alias("brightness"), sd.alias("contrast"), q.alias("laplacian"), images.sharpness(q).alias("sharpness")), 4)
+
+
+@query("""SELECT vec_id, cell::INT AS cell, round(greatest(sum(embedding[cell * 4 + k + 1]::DOUBLE * [0.5, -0.25, 1.0, 0.75][k + 1]), 0), 6) AS activation FROM embeddings, (SELECT unnest(range(16)) AS cell), (SELECT unnest(range(4)) AS k) GROUP BY 1, 2""")
+def activation_maps(spark, sf_dir):
+    weights = F.array(*[F.lit(w) for w in (0.5, -0.25, 1.0, 0.75)])
+    cells = images.class_map(F.transform("embedding", lambda x: x.cast("double")), weights, 4)
+    return _rounded(table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(cells).alias("cell", "activation")))
+
+
+@query()
+def corrupted_quality(spark, sf_dir):
+    pixels = F.transform("embedding", lambda x: 128 + 200 * x.cast("double"))
+    own = table(spark, sf_dir, "embeddings").select("vec_id", F.lit(8).alias("width"), pixels.alias("pixels"))
+    rows = images.corrupt(own, "vec_id")
+    mean, sd = images.contrast(F.col("pixels"))
+    return _rounded(rows.groupBy("corruption", "severity").agg(F.count("*").alias("n"), F.avg(mean).alias("brightness"), F.avg(sd).alias("contrast")), 3)
+
+
+@query()
+def segment_masks(spark, sf_dir):
+    pixels = F.transform("embedding", lambda x: 128 + 200 * x.cast("double"))
+    own = table(spark, sf_dir, "embeddings").select("vec_id", F.lit(8).alias("width"), pixels.alias("pixels"))
+    return images.segment(own, "vec_id").select("vec_id", F.round("area", 4).alias("area"), "touches_border")
+
+
+@query()
+def fieldlog_stream(spark, sf_dir):
+    import tempfile
+    import uuid
+
+    from lakeproof.streaming import journal
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
+    root = f"{root.rstrip('/')}/journal-{uuid.uuid4().hex}"
+    journal_lines(spark, sf_dir).write.text(f"{root}/lines")
+    rows = journal.windowed(journal.journal_stream(spark, f"{root}/lines"))
+    return _rounded(journal.run_to_table(rows, f"journal_{uuid.uuid4().hex}", f"{root}/state"))
