@@ -2,12 +2,14 @@
 
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; it is written as Parquet and read again as the next
 stage's documents. All but the last return the columns of ``documents``. Stages keep the rows they find no fault
-with as they are; an empty table passes through as an empty table.
+with as they are; an empty table passes through as an empty table. What a stage has written on its way is deleted
+when the next one starts, since its result has been written by then.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,18 +18,29 @@ from lakeproof.llm.decontamination import contamination
 from lakeproof.llm.near_duplicates import near_duplicates
 from lakeproof.llm.sentence_pieces import encode_documents, read_model
 from lakeproof.llm.substrings import remove_repeats
-from lakeproof.llm.tables import cut, table, tokenizer_path
+from lakeproof.llm.tables import cut, release, scope, table, tokenizer_path
 from lakeproof.llm.toxicity import fit, labelled, toxicity
 
 #: Ids up to this number (8 bytes each) are sent to every executor to drop rows; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
 
+def _stage(f):
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, "stage")
+        with scope("stage"):
+            return f(spark, docs, sf_dir)
+
+    return run_stage
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     gone = cut(gone.select("doc_id").distinct(), "gone")
     return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti")
 
 
+@_stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the grammar scores below one half; it learns from the labels of ``sf_dir`` whose id isn't held out."""
     grammar = fit(labelled(docs, table(spark, sf_dir, "labels")))
@@ -35,11 +48,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where("predicted = 0").select(docs.columns)
 
 
+@_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of every group of near duplicates."""
     return _without(docs, near_duplicates(docs).where("not kept"))
 
 
+@_stage
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without windows that stand elsewhere too; a text of which nothing is left goes, others stay unchanged."""
     rows = remove_repeats(docs.withColumn("whole_text", F.col("text")))
@@ -48,11 +63,13 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(docs.columns)
 
 
+@_stage
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
     return _without(docs, contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
 
 
+@_stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id`` with its SentencePiece ids."""
     return encode_documents(docs.select("doc_id", "text"), read_model(tokenizer_path()))

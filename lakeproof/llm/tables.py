@@ -2,33 +2,21 @@
 
 from __future__ import annotations
 
-import io
 import os
+import re
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_DIRS: list[tuple[SparkSession, str]] = []
+from lakeproof.session import ship
 
-
-def ship(spark: SparkSession) -> None:
-    """Send this package's source to the Python workers, once per application."""
-    context = spark.sparkContext
-    if getattr(context, "_lakeproof_sent", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    held = io.BytesIO()
-    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f.relative_to(root.parent))
-    path = Path(tempfile.mkdtemp(prefix="lakeproof-")) / "lakeproof-workers.zip"
-    path.write_bytes(held.getvalue())
-    context.addPyFile(str(path))
-    context._lakeproof_sent = True
+#: Tables written so far, with the scope they were written in.
+_DIRS: list[tuple[SparkSession, str, str]] = []
+_SCOPE = [""]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,10 +26,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder: ``spark.checkpoint.dir``; only a local session may go without it."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
-    if not (spark.conf.get("spark.master", "") or "").startswith("local["):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     own = tempfile.mkdtemp(prefix="lakeproof-")
     spark.conf.set("spark.checkpoint.dir", f"file://{own}")
@@ -53,17 +41,27 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lakeproof-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _DIRS.append((spark, path))
+    _DIRS.append((spark, path, _SCOPE[-1]))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables that :func:`cut` has written for ``spark``; their DataFrames can't be read any more."""
+def release(spark: SparkSession, scope: str = "") -> None:
+    """Delete the tables that :func:`cut` has written for ``spark`` in a scope; their DataFrames can't be read any more."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for own, path in [x for x in _DIRS if x[0] is spark]:
-        p = jvm.org.apache.hadoop.fs.Path(path)
+    for own in [x for x in _DIRS if x[0] is spark and x[2] == scope]:
+        p = jvm.org.apache.hadoop.fs.Path(own[1])
         p.getFileSystem(conf).delete(p, True)
-        _DIRS.remove((own, path))
+        _DIRS.remove(own)
+
+
+@contextmanager
+def scope(name: str) -> Iterator[None]:
+    """What :func:`cut` writes inside belongs to ``name``, for :func:`release`."""
+    _SCOPE.append(name)
+    try:
+        yield
+    finally:
+        _SCOPE.pop()
 
 
 def crc(column: Column) -> Column:

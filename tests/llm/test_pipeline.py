@@ -5,7 +5,8 @@ import pytest
 
 import corpus_pipeline
 from lakeproof.llm.sentence_pieces import PieceModel, decode_documents, encode_documents, read_model
-from lakeproof.llm.tables import ship, table, tokenizer_path
+from lakeproof.llm.tables import table, tokenizer_path
+from lakeproof.session import ship
 
 SF = "/root/testdata/sf0.001"
 
@@ -52,7 +53,7 @@ def test_documents(spark, model):
 
 
 def test_stages(spark):
-    docs = table(spark, SF, "documents").withColumnRenamed("doc_id", "doc_id")
+    docs = table(spark, SF, "documents")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns
