@@ -158,6 +158,19 @@ class Trie:
         return out - np.log10(max(1, 256 - int(seen.sum())))
 
 
+def _direct(order: int, trie: Trie) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted contexts with symbol, for symbols that need no escape, and their costs."""
+    own = [(context, *found) for table in trie.tables for (k, context), found in table.items() if k == order]
+    if not own:
+        return np.empty(0, np.uint64), np.empty(0)
+    sizes = np.array([len(x[1]) for x in own])
+    keys = np.repeat(np.array([x[0] for x in own], np.uint64), sizes) << np.uint64(8) | np.concatenate([x[1] for x in own]).astype(np.uint64)
+    totals = np.array([float(x[2].sum() + len(x[2])) for x in own])
+    costs = np.log10(np.concatenate([x[2] for x in own]) / np.repeat(totals, sizes))
+    by = np.argsort(keys)
+    return keys[by], costs[by]
+
+
 def _unpack(held: bytes) -> tuple[np.ndarray, np.ndarray]:
     a = np.frombuffer(held, np.int64)
     return (a & 255).astype(np.uint8), a >> 8
@@ -171,6 +184,7 @@ def _scorer(order: int, short: dict[tuple[int, int], bytes], tokens: int, distin
         names, counts = keys[own].view(np.uint64)[by], n[own][by]
         rows = {(int(k), int(x)): _unpack(h) for k, x, h in zip(kinds[~own], keys[~own], known.column("held").filter(pa.array(~own)).to_pylist())}
         trie = Trie({k: _unpack(v) for k, v in short.items()}, rows)
+        direct, direct_costs = _direct(order, trie)
         ids, held = group.column("id").combine_chunks(), group.column("held_out").combine_chunks()
         texts = wd.encoded(group.column("text").combine_chunks())
         base, score = np.zeros(len(texts)), np.zeros(len(texts))
@@ -198,8 +212,12 @@ def _scorer(order: int, short: dict[tuple[int, int], bytes], tokens: int, distin
         costs: dict[int, float] = {}
         for at, packed, begin in _grams(texts, order):
             found, where = np.unique(packed, return_inverse=True)
-            values = np.empty(len(found))
-            for i, x in enumerate(found.tolist()):
+            values = np.full(len(found), np.nan)
+            if len(direct):
+                place = np.minimum(np.searchsorted(direct, found), len(direct) - 1)
+                values = np.where(direct[place] == found, direct_costs[place], np.nan)
+            for i in np.flatnonzero(np.isnan(values)).tolist():  # escapes
+                x = int(found[i])
                 v = costs.get(x)
                 if v is None:
                     v = costs[x] = trie.cost(order, x >> 8, x & 255)
