@@ -32,6 +32,8 @@ MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _PRIME = np.uint64(0x100000001B3)
+#: Codes are piece ids, or ``-1 - code point`` for characters without a piece.
+_NONE, _SHIFT = np.iinfo(np.int64).min, 0x110000 + 1
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -133,16 +135,22 @@ class PieceModel:
             own[where : where + 2] = [own[where] + own[where + 1]]
         return own
 
-    def admissible(self, pairs: np.ndarray, left: list[str], right: list[str]) -> np.ndarray:
-        out = np.empty(len(left), bool)
-        for i, pair in enumerate(zip(left, right)):
-            known = self._pairs.get(pair)
+    def admissible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether each right code may follow its left one, which is ``_NONE`` at a part's start."""
+        first = np.where(left == _NONE, 0, left + _SHIFT + 1)
+        codes, where = np.unique(first << np.int64(32) | (right + _SHIFT), return_inverse=True)
+        good = np.empty(len(codes), bool)
+        for i, code in enumerate(codes.tolist()):
+            known = self._pairs.get(code)
             if known is None:
                 if len(self._pairs) >= self.memory:
                     self._pairs.clear()
-                known = self._pairs[pair] = self.merged(pair[0] + pair[1]) == list(pair) if pair[0] else self.merged(pair[1]) == [pair[1]]
-            out[i] = known
-        return out
+                pair = [self._text((code & 0xFFFFFFFF) - _SHIFT)]
+                if code >> 32:
+                    pair.insert(0, self._text((code >> 32) - _SHIFT - 1))
+                known = self._pairs[code] = self.merged("".join(pair)) == pair
+            good[i] = known
+        return good[where]
 
     def _viterbi(self, words: list[str]) -> list[list[int]]:
         """Ids of words of one length, unknown characters as ``-1 - code point``."""
@@ -156,7 +164,7 @@ class PieceModel:
         score = np.full((n, size + 1), -np.inf)
         score[:, 0] = 0
         back = np.zeros((n, size + 1), np.int32)
-        last = np.full((n, size + 1), np.iinfo(np.int64).min, np.int64)
+        last = np.full((n, size + 1), _NONE, np.int64)
         for end in range(1, size + 1):
             lengths = range(1, min(self.longest, end) + 1)
             for length in reversed(lengths):
@@ -171,10 +179,7 @@ class PieceModel:
                 if not len(rows):
                     continue
                 if self.model == BPE:
-                    codes = np.stack([last[rows, end - length], piece[rows]], axis=1)
-                    pairs, where = np.unique(codes, axis=0, return_inverse=True)
-                    good = self.admissible(pairs, [self._text(a) for a in pairs[:, 0].tolist()], [self._text(b) for b in pairs[:, 1].tolist()])
-                    rows = rows[good[where.ravel()]]
+                    rows = rows[self.admissible(last[rows, end - length], piece[rows])]
                     value = np.zeros(len(rows))
                 else:
                     value = score[rows, end - length] + np.where(piece[rows] >= 0, self.scores[np.maximum(piece[rows], 0)], self.floor)
@@ -191,9 +196,7 @@ class PieceModel:
         return out
 
     def _text(self, code: int) -> str:
-        if code >= 0:
-            return self.pieces[code]
-        return "" if code == np.iinfo(np.int64).min else chr(-1 - code)
+        return self.pieces[code] if code >= 0 else chr(-1 - code)
 
     def _final(self, codes: list[int]) -> list[int]:
         out: list[int] = []
