@@ -110,6 +110,11 @@ class PieceModel:
         self.sizes = np.array([len(t) for t in texts], np.int64)[order]
         self.bytes = {int(self.pieces[i][3:5], 16): int(i) for i in np.flatnonzero(self.kinds == BYTE)}
         self.unknown = int(np.flatnonzero(self.kinds == UNKNOWN)[0]) if (self.kinds == UNKNOWN).any() else 0
+        self.surfaces = ["" if k == CONTROL else t.replace(MARK, " ") for t, k in zip(self.pieces, self.kinds.tolist())]
+        if self.unknown < len(self.surfaces):
+            self.surfaces[self.unknown] = " ⁇ "
+        for b, i in self.bytes.items():  # bytes meet as escapes and are read as UTF-8 together
+            self.surfaces[i] = bytes([b]).decode("utf-8", "surrogateescape")
         self.floor = float(self.scores[own].min(initial=0.0)) - 10.0
         crossing = any(MARK in t.lstrip(MARK) for t in texts)
         self.parts = re.compile(rf"{MARK}*[^{MARK}]+|{MARK}+" if not crossing else r"(?s).+")
@@ -228,20 +233,8 @@ class PieceModel:
         return [[x for w in own for x in held[w]] for own in split]
 
     def decode(self, ids: list[int]) -> str:
-        out, run = [], bytearray()
-        values = {v: k for k, v in self.bytes.items()}
-        for i in ids:
-            if i in values:
-                run.append(values[i])
-                continue
-            if run:
-                out.append(run.decode("utf-8", "replace"))
-                run = bytearray()
-            if self.kinds[i] != CONTROL:
-                out.append(" ⁇ " if i == self.unknown else self.pieces[i].replace(MARK, " "))
-        if run:
-            out.append(run.decode("utf-8", "replace"))
-        text = "".join(out)
+        surfaces = self.surfaces
+        text = "".join([surfaces[i] for i in ids]).encode("utf-8", "surrogateescape").decode("utf-8", "replace")
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
 
