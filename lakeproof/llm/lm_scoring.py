@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -128,63 +129,82 @@ def _asker(order: int):
     return run
 
 
-class Trie:
-    """Contexts by order: ``(order, context) -> (symbols, counts)``."""
+class _Level:
+    """The contexts of one order with their symbols' counts, sorted: ``keys`` (context and symbol), ``counts``, and by
+    context ``contexts, totals, distinct`` and ``excluded``, what the next shorter context counts for the same symbols."""
 
-    def __init__(self, short: dict, rows: dict):
-        self.tables = (rows, short)
+    def __init__(self, contexts: np.ndarray, sizes: np.ndarray, packed: np.ndarray):
+        keys = np.repeat(contexts.astype(np.uint64), sizes) << np.uint64(8) | (packed & 255).astype(np.uint64)
+        by = np.argsort(keys)
+        self.keys, self.counts = keys[by], packed[by] >> 8
+        self.contexts, self.start = np.unique(self.keys >> np.uint64(8), return_index=True)
+        self.distinct = np.diff(np.append(self.start, len(self.keys)))
+        self.totals = self.sums(self.counts)
+        self.excluded = np.zeros(len(self.contexts), np.int64)
 
-    def children(self, order: int, context: int):
-        return self.tables[0].get((order, context)) or self.tables[1].get((order, context))
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(values, self.start) if len(values) else values
 
-    def cost(self, order: int, context: int, symbol: int) -> float:
-        """log10 of the symbol's probability after the context."""
-        out, seen = 0.0, np.zeros(256, bool)
-        for k in range(order, -1, -1):
-            found = self.children(k, context & ((1 << 8 * k) - 1))
-            if not found:
-                continue
-            symbols, counts = found
-            fresh = ~seen[symbols]
-            own = counts[fresh]
-            if not len(own):
+
+def _find(where: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a sorted array, and whether they hold what was looked for."""
+    if not len(where):
+        return np.zeros(len(what), np.int64), np.zeros(len(what), bool)
+    at = np.minimum(np.searchsorted(where, what), len(where) - 1)
+    return at, where[at] == what
+
+
+class Trie:
+    """Contexts by order. A longer context's symbols are among those of its suffix, so that exclusion needs no sets:
+    what is left of the suffix is its total and number of symbols, less what ``excluded`` and ``distinct`` say."""
+
+    def __init__(self, levels: list[_Level]):
+        self.levels = levels
+        for k in range(1, len(levels)):
+            own, suffix = levels[k], levels[k - 1]
+            if len(own.keys):
+                at, known = _find(suffix.keys, own.keys & np.uint64((1 << 8 * k) - 1))
+                own.excluded = own.sums(np.where(known, suffix.counts[at], 0))
+
+    def costs(self, packed: np.ndarray) -> np.ndarray:
+        """log10 of each symbol's probability after its context."""
+        out = np.zeros(len(packed))
+        live = np.arange(len(packed))
+        seen, excluded = np.zeros(len(packed), np.int64), np.zeros(len(packed), np.int64)
+        for k in range(len(self.levels) - 1, -1, -1):
+            level = self.levels[k]
+            if not len(level.keys) or not len(live):
                 continue
-            total = float(own.sum() + len(own))
-            hit = np.flatnonzero(symbols[fresh] == symbol)
-            if len(hit):
-                return out + np.log10(own[hit[0]] / total)
-            out += np.log10(len(own) / total)
-            seen[symbols] = True
-        return out - np.log10(max(1, 256 - int(seen.sum())))
-
-
-def _direct(order: int, trie: Trie) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted contexts with symbol, for symbols that need no escape, and their costs."""
-    own = [(context, *found) for table in trie.tables for (k, context), found in table.items() if k == order]
-    if not own:
-        return np.empty(0, np.uint64), np.empty(0)
-    sizes = np.array([len(x[1]) for x in own])
-    keys = np.repeat(np.array([x[0] for x in own], np.uint64), sizes) << np.uint64(8) | np.concatenate([x[1] for x in own]).astype(np.uint64)
-    totals = np.array([float(x[2].sum() + len(x[2])) for x in own])
-    costs = np.log10(np.concatenate([x[2] for x in own]) / np.repeat(totals, sizes))
-    by = np.argsort(keys)
-    return keys[by], costs[by]
-
-
-def _unpack(held: bytes) -> tuple[np.ndarray, np.ndarray]:
-    a = np.frombuffer(held, np.int64)
-    return (a & 255).astype(np.uint8), a >> 8
-
-
-def _scorer(order: int, short: dict[tuple[int, int], bytes], tokens: int, distinct: int, alpha: float):
+            own = packed[live] & np.uint64((1 << 8 * (k + 1)) - 1)
+            at, known = _find(level.contexts, own >> np.uint64(8))
+            place, hit = _find(level.keys, own)
+            fresh = np.where(known, level.distinct[at] - seen[live], 0)
+            total = level.totals[at] - excluded[live] + fresh
+            some = fresh > 0
+            out[live[some]] += np.log10(np.where(hit, level.counts[place], fresh)[some] / total[some])
+            seen[live[known]], excluded[live[known]] = level.distinct[at[known]], level.excluded[at[known]]
+            live = live[~hit]
+        out[live] -= np.log10(np.maximum(1, 256 - seen[live]))
+        return out
+
+
+def _lists(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts, the lengths of their lists, and the lists end to end."""
+    lists = rows.column("held")
+    sizes = pc.list_value_length(lists).to_numpy()
+    return rows.column("key").to_numpy().view(np.uint64), sizes, pc.list_flatten(lists).to_numpy().astype(np.int64)
+
+
+def _scorer(order: int, short: list[tuple[np.ndarray, np.ndarray, np.ndarray]], tokens: int, distinct: int, alpha: float):
     def run(key: tuple, group: pa.Table, known: pa.Table) -> pa.Table:
         kinds, keys, n = (known.column(c).to_numpy() for c in ("kind", "key", "n"))
         own = kinds == WORDS
         by = np.argsort(keys[own].view(np.uint64))
         names, counts = keys[own].view(np.uint64)[by], n[own][by]
-        rows = {(int(k), int(x)): _unpack(h) for k, x, h in zip(kinds[~own], keys[~own], known.column("held").filter(pa.array(~own)).to_pylist())}
-        trie = Trie({k: _unpack(v) for k, v in short.items()}, rows)
-        direct, direct_costs = _direct(order, trie)
+        levels = [_Level(*x) for x in short]
+        for k in range(len(short), order + 1):
+            levels.append(_Level(*_lists(known.filter(pa.array(kinds == k)))))
+        trie = Trie(levels)
         ids, held = group.column("id").combine_chunks(), group.column("held_out").combine_chunks()
         texts = wd.encoded(group.column("text").combine_chunks())
         base, score = np.zeros(len(texts)), np.zeros(len(texts))
@@ -209,19 +229,9 @@ def _scorer(order: int, short: dict[tuple[int, int], bytes], tokens: int, distin
         total += 1
         some += int(end > 0)
         base += np.log10(end + alpha) - floor
-        costs: dict[int, float] = {}
         for at, packed, begin in _grams(texts, order):
             found, where = np.unique(packed, return_inverse=True)
-            values = np.full(len(found), np.nan)
-            if len(direct):
-                place = np.minimum(np.searchsorted(direct, found), len(direct) - 1)
-                values = np.where(direct[place] == found, direct_costs[place], np.nan)
-            for i in np.flatnonzero(np.isnan(values)).tolist():  # escapes
-                x = int(found[i])
-                v = costs.get(x)
-                if v is None:
-                    v = costs[x] = trie.cost(order, x >> 8, x & 255)
-                values[i] = v
+            values = trie.costs(found)
             sums = np.concatenate([[0.0], np.cumsum(values[where])])
             score[at : at + len(begin) - 1] = sums[begin[1:]] - sums[begin[:-1]]
         return pa.table({"id": ids, "held_out": held, "n_tokens": total, "n_known": some, "train_tokens": np.full(len(texts), tokens, np.int64), "base_score": base, "score": score})
@@ -244,7 +254,7 @@ def lm_scores(docs: DataFrame, params: LmParams = LmParams(), id_col: str = "doc
             grams = grams.groupBy(F.col("key").bitwiseAND((1 << 8 * (order + 1)) - 1).alias("key")).agg(F.sum("n").alias("n"))
         packed = F.call_function("shiftleft", F.col("n"), F.lit(8)).bitwiseOR(F.col("key").bitwiseAND(255))
         contexts.append(grams.groupBy(F.lit(order).alias("kind"), F.call_function("shiftright", F.col("key"), F.lit(8)).alias("key")).agg(F.collect_list(packed).alias("held")))  # 256 at most
-    short = {(r.kind, r.key): np.array(sorted(r.held, key=lambda x: x & 255), np.int64).tobytes() for own in contexts[max(0, k - 2) :] for r in own.collect()}
+    short = [_lists(own.select("key", "held").toArrow()) for own in reversed(contexts[max(0, k - 2) :])]
     held = F.expr("cast(null as array<long>)")
     model = counts.where(F.col("kind") == WORDS).select("kind", "key", "n", held.alias("held"))
     for own in contexts[: max(0, k - 2)]:
@@ -253,15 +263,7 @@ def lm_scores(docs: DataFrame, params: LmParams = LmParams(), id_col: str = "doc
     blocks = max(1, -(-size // params.block_bytes))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)))
     asked = dealt.select("block", "text").groupBy("block").applyInArrow(_asker(k), "block long, kind int, key long")
-    known = asked.join(model, ["kind", "key"]).select("block", "kind", "key", "n", F.expr("cast(null as binary)").alias("none"), "held")
-    known = known.drop("none").mapInArrow(_packed, "block long, kind int, key long, n long, held binary")
+    known = asked.join(model, ["kind", "key"]).select("block", "kind", "key", "n", "held")
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     scored = dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_scorer(k, short, int(tokens), int(distinct), params.alpha), schema)
     return scored.withColumnRenamed("id", id_col)
-
-
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A list of longs as their bytes, sorted by symbol."""
-    for batch in batches:
-        held = [None if x is None else np.array(sorted(x, key=lambda v: v & 255), np.int64).tobytes() for x in batch.column(4).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(held, pa.binary())], names=["block", "kind", "key", "n", "held"])
