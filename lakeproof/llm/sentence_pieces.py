@@ -6,7 +6,7 @@ the sorted piece keys, and a vectorised maximum over the lengths stores the back
 
 For unigram models the maximum is of summed piece scores. For byte-pair models it is of admissibility: the encoding
 of a prefix ends in the one piece that, together with the last piece of the prefix before it, encodes to just these
-two. This pair test, which decides such models' merges exactly, is remembered per pair.
+two. This pair test, which decides such models' merges exactly, is remembered per pair: lately met pairs in an array by slot, others in a table.
 
 Characters without a piece become byte pieces where the model has them, else the unknown id. Models with a
 character map are refused: a normaliser is not part of this operator.
@@ -32,6 +32,7 @@ MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _PRIME = np.uint64(0x100000001B3)
+_SLOT = np.uint64(0x9E3779B97F4A7C15)
 #: Codes are piece ids, or ``-1 - code point`` for characters without a piece.
 _NONE, _SHIFT = np.iinfo(np.int64).min, 0x110000 + 1
 
@@ -108,6 +109,9 @@ class PieceModel:
         self.keys = keys[order]
         self.key_ids = np.array([self.ids[t] for t in texts], np.int64)[order]
         self.sizes = np.array([len(t) for t in texts], np.int64)[order]
+        self.maybe = np.zeros(1 << 20, bool)  # most substrings are no piece and fail here
+        self.maybe[(self.keys >> np.uint64(44)).astype(np.int64)] = True
+        self.recent, self.recent_good = np.zeros(1 << 20, np.int64), np.zeros(1 << 20, bool)
         self.bytes = {int(self.pieces[i][3:5], 16): int(i) for i in np.flatnonzero(self.kinds == BYTE)}
         self.unknown = int(np.flatnonzero(self.kinds == UNKNOWN)[0]) if (self.kinds == UNKNOWN).any() else 0
         self.surfaces = ["" if k == CONTROL else t.replace(MARK, " ") for t, k in zip(self.pieces, self.kinds.tolist())]
@@ -143,22 +147,32 @@ class PieceModel:
     def admissible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether each right code may follow its left one, which is ``_NONE`` at a part's start."""
         first = np.where(left == _NONE, 0, left + _SHIFT + 1)
-        codes, where = np.unique(first << np.int64(32) | (right + _SHIFT), return_inverse=True)
-        good = np.empty(len(codes), bool)
-        for i, code in enumerate(codes.tolist()):
-            known = self._pairs.get(code)
-            if known is None:
-                if len(self._pairs) >= self.memory:
-                    self._pairs.clear()
-                pair = [self._text((code & 0xFFFFFFFF) - _SHIFT)]
-                if code >> 32:
-                    pair.insert(0, self._text((code >> 32) - _SHIFT - 1))
-                known = self._pairs[code] = self.merged("".join(pair)) == pair
-            good[i] = known
-        return good[where]
-
-    def _viterbi(self, words: list[str]) -> list[list[int]]:
-        """Ids of words of one length, unknown characters as ``-1 - code point``."""
+        codes = first << np.int64(32) | (right + _SHIFT)
+        slots = ((codes.view(np.uint64) * _SLOT) >> np.uint64(44)).astype(np.int64)
+        good, fresh = self.recent_good[slots], np.flatnonzero(self.recent[slots] != codes)
+        if len(fresh):
+            new, at, where = np.unique(codes[fresh], return_index=True, return_inverse=True)
+            found = np.array([self._pair(code) for code in new.tolist()], bool)
+            own = slots[fresh][at]
+            self.recent[own] = new
+            self.recent_good[own] = found
+            # two codes of one slot: only the last is remembered
+            good[fresh] = found[where]
+        return good
+
+    def _pair(self, code: int) -> bool:
+        known = self._pairs.get(code)
+        if known is None:
+            if len(self._pairs) >= self.memory:
+                self._pairs.clear()
+            pair = [self._text((code & 0xFFFFFFFF) - _SHIFT)]
+            if code >> 32:
+                pair.insert(0, self._text((code >> 32) - _SHIFT - 1))
+            known = self._pairs[code] = self.merged("".join(pair)) == pair
+        return known
+
+    def _viterbi(self, words: list[str]) -> list[bytes]:
+        """Ids of words of one length, as 32-bit numbers."""
         n, size = len(words), len(words[0])
         points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, size).astype(np.uint64)
         with np.errstate(over="ignore"):
@@ -170,17 +184,25 @@ class PieceModel:
         score[:, 0] = 0
         back = np.zeros((n, size + 1), np.int32)
         last = np.full((n, size + 1), _NONE, np.int64)
+        every, piece = np.arange(n), np.empty(n, np.int64)
         for end in range(1, size + 1):
             lengths = range(1, min(self.longest, end) + 1)
             for length in reversed(lengths):
+                live = np.flatnonzero(np.isneginf(score[:, end])) if self.model == BPE else every
+                if not len(live):
+                    break
                 with np.errstate(over="ignore"):
-                    key = sums[:, end] - sums[:, end - length] * powers[length]
-                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                hit = (self.keys[at] == key) & (self.sizes[at] == length)
-                piece = np.where(hit, self.key_ids[at], -1 - points[:, end - 1].astype(np.int64)) if length == 1 else self.key_ids[at]
-                rows = np.arange(n) if length == 1 else np.flatnonzero(hit)
-                if self.model == BPE:
-                    rows = rows[np.isneginf(score[rows, end])]
+                    key = sums[live, end] - sums[live, end - length] * powers[length]
+                rows = np.flatnonzero(self.maybe[(key >> np.uint64(44)).astype(np.int64)])
+                at = np.minimum(np.searchsorted(self.keys, key[rows]), len(self.keys) - 1)
+                hit = (self.keys[at] == key[rows]) & (self.sizes[at] == length)
+                rows, ids = live[rows[hit]], self.key_ids[at[hit]]
+                if length == 1:
+                    piece[:] = -1 - points[:, end - 1].astype(np.int64)
+                    piece[rows] = ids
+                    rows = live
+                else:
+                    piece[rows] = ids
                 if not len(rows):
                     continue
                 if self.model == BPE:
@@ -191,19 +213,22 @@ class PieceModel:
                     better = value > score[rows, end]
                     rows, value = rows[better], value[better]
                 score[rows, end], back[rows, end], last[rows, end] = value, end - length, piece[rows]
-        out: list[list[int]] = []
-        for i in range(n):
-            at, own = size, []
-            while at:
-                own.append(int(last[i, at]))
-                at = back[i, at]
-            out.append(own[::-1])
+        rows, at, held, taken = np.arange(n), np.full(n, size), np.zeros((n, size), np.int32), np.zeros((n, size), bool)
+        while len(rows):  # back from the ends, one piece at a time
+            held[rows, at - 1], taken[rows, at - 1] = last[rows, at], True
+            at = back[rows, at]
+            rows, at = rows[at > 0], at[at > 0]
+        flat, ends = held[taken].tobytes(), (4 * np.cumsum(taken.sum(1))).tolist()
+        out = [flat[a:b] for a, b in zip([0, *ends], ends)]
+        for i in np.flatnonzero(((held < 0) & taken).any(1)).tolist():
+            out[i] = self._final(np.frombuffer(out[i], np.int32).tolist())
         return out
 
     def _text(self, code: int) -> str:
         return self.pieces[code] if code >= 0 else chr(-1 - code)
 
-    def _final(self, codes: list[int]) -> list[int]:
+    def _final(self, codes: list[int]) -> bytes:
+        """Codes of characters without a piece as bytes or as the unknown piece."""
         out: list[int] = []
         for c in codes:
             if c >= 0:
@@ -212,25 +237,27 @@ class PieceModel:
                 out.extend(self.bytes[b] for b in chr(-1 - c).encode("utf-8", "surrogatepass"))
             elif not out or out[-1] != self.unknown:
                 out.append(self.unknown)
-        return out
+        return np.array(out, np.int32).tobytes()
 
     def encode(self, texts: list[str]) -> list[list[int]]:
+        return [np.frombuffer(x, np.int32).tolist() for x in self.packed(texts)]
+
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """Ids as 32-bit numbers. Parts are remembered as bytes, which the collector of cycles has not to walk."""
         split = [self.parts.findall(self.escaped(t)) for t in texts]
         fresh: dict[int, set[str]] = {}
         if len(self._parts) > self.memory:
             self._parts.clear()
         for own in split:
-            for w in own:
-                if w not in self._parts:
-                    fresh.setdefault(len(w), set()).add(w)
+            for w in set(own).difference(self._parts):
+                fresh.setdefault(len(w), set()).add(w)
         for group in fresh.values():
             words = list(group)
-            step = max(1, 2_000_000 // len(words[0]))
+            step = max(1, 1_000_000 // len(words[0]))
             for i in range(0, len(words), step):
-                for w, codes in zip(words[i : i + step], self._viterbi(words[i : i + step])):
-                    self._parts[w] = self._final(codes)
-        held = self._parts
-        return [[x for w in own for x in held[w]] for own in split]
+                self._parts.update(zip(words[i : i + step], self._viterbi(words[i : i + step])))
+        held = self._parts.__getitem__
+        return [b"".join(map(held, own)) for own in split]
 
     def decode(self, ids: list[int]) -> str:
         surfaces = self.surfaces
@@ -262,10 +289,13 @@ def _encoder(model: bytes, rest: int, slice_rows: int = 1_000):
         for whole in batches:
             for batch in (whole.slice(i, slice_rows) for i in range(0, whole.num_rows, slice_rows)):
                 texts = [t or "" for t in batch.column(rest).to_pylist()]
-                ids = own.encode(texts)
-                digests = [hashlib.sha256(np.array(x, np.int32).tobytes()).hexdigest() for x in ids]
-                back = [own.decode(x) == t for x, t in zip(ids, texts)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:rest], pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(digests, pa.string()), pa.array(back, pa.bool_())], names=[*batch.schema.names[:rest], "n_tokens", "ids", "ids_sha256", "round_trip"])
+                ids = own.packed(texts)
+                sizes = np.array([len(x) // 4 for x in ids], np.int64)
+                flat = np.frombuffer(b"".join(ids), np.int32)
+                offsets = np.concatenate([[0], np.cumsum(sizes)])
+                digests = [hashlib.sha256(x).hexdigest() for x in ids]
+                back = [own.decode(np.frombuffer(x, np.int32).tolist()) == t for x, t in zip(ids, texts)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:rest], pa.array(sizes), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)), pa.array(digests, pa.string()), pa.array(back, pa.bool_())], names=[*batch.schema.names[:rest], "n_tokens", "ids", "ids_sha256", "round_trip"])
 
     return run
 
