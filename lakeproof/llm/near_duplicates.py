@@ -2,9 +2,9 @@
 
 1. Every document's distinct shingles are hashed; the ``k`` smallest hashes are its sketch. Documents with equal
    sets collapse into a class, represented by the smallest id.
-2. Inverted lists: a linked pair shares at least ``t`` retained values (all of ``ceil(0.75 n)`` where a set fits its
-   sketch; otherwise ``overlap``, five standard deviations below the mean of shared values at the threshold), so
-   each class is listed only under its ``k - t + 1`` rarest values.
+2. Inverted lists: a linked pair shares at least ``t`` retained values (where a set fits its sketch, what the largest
+   partner in reach must still retain of it, exactly; otherwise ``overlap``, five standard deviations below the mean of
+   shared values at the threshold), so each class is listed only under its ``k - t + 1`` rarest values.
 3. Candidates of a list are compared with its most central members first; then what is outside the list's main
    component with eight members inside it; last, whatever is still in different components with everything, where
    bit marks of the shingles that each side shares with any other class of the open lists leave the threshold in reach. Pairs
@@ -127,7 +127,11 @@ def _listed(classes: DataFrame, params: NearDuplicateParams) -> DataFrame:
     """``value, rep, n, central``: the inverted lists, of two members at least; ``central``: how common a class's values are."""
     values = classes.select("rep", "n", F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
     counts = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    need = F.when(F.col("n") <= params.k, F.ceil(F.col("n") * params.percent / 100).cast("int")).otherwise(params.overlap)
+    # A partner of m shingles shares (n + m) p / (100 + p) of them at least and drops m - k; both ends of the m in reach bound it.
+    p, n = params.percent, F.col("n")
+    most = F.floor(100 * n / p)
+    held = F.least(F.ceil(n * p / 100), F.ceil((n + most) * p / (100 + p)) - F.greatest(F.lit(0), most - params.k))
+    need = F.when(n <= params.k, held.cast("int")).otherwise(params.overlap)
     shared = values.join(counts, "value").groupBy("rep", "n", "size").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("shared"))  # k at most
     # Values of no other class come first in the order and need no list.
     left = F.greatest(F.lit(0), F.size("shared") - need + 1)
