@@ -3,7 +3,9 @@
 Only DataFrame functions. One pass over the texts computes counts and both histograms; the references are the
 histograms' sums over all rows of a language; a row is judged by its Jensen-Shannon distances (base 2, square
 root of the divergence, 0 to 1) to the reference of its own ``lang``. Distances of short texts are noise, so
-each histogram has a least total below which it isn't judged.
+texts are judged from a least length: in characters, and in words as the number of common words that a text of
+that length has in its language, so that texts with few or none are judged too. Without any the word distance is 1.
+A language whose rows hold no common word has no word reference, and its rows no word distance.
 
 Edge cases: null and empty texts have no words and fail; a null ``lang`` is a language of its own; repeated rows
 count once each; an empty table gives an empty result; other columns are ignored.
@@ -35,6 +37,9 @@ class QualityParams:
     #: Least characters and least common words for a histogram to be judged.
     min_chars: int = 200
     min_common: int = 40
+    #: Texts with fewer common words are judged too where their length leads to expect this many, or the second number where they have none.
+    min_expected: float = 12
+    min_expected_none: float = 6
     max_char_distance: float = 0.20
     max_word_distance: float = 0.50
     #: Languages up to this number are sent to every executor; beyond, the references are joined by shuffle.
@@ -104,12 +109,12 @@ def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def references(counts: DataFrame) -> DataFrame:
-    """``lang, char_ref, word_ref``: each language's histograms summed over all its rows."""
+    """``lang, char_ref, word_ref, ref_words``: each language's histograms and words summed over all its rows."""
 
     def total(name: str, n: int) -> Column:
         return F.array(*[F.sum(F.col(name)[i]).cast("double") for i in range(n)])
 
-    return counts.groupBy("lang").agg(total("char_hist", len(CLASSES) + 3).alias("char_ref"), total("word_hist", len(COMMON_WORDS)).alias("word_ref"))
+    return counts.groupBy("lang").agg(total("char_hist", len(CLASSES) + 3).alias("char_ref"), total("word_hist", len(COMMON_WORDS)).alias("word_ref"), F.sum("n_words").cast("double").alias("ref_words"))
 
 
 def js_distance(p: Column | str, q: Column | str) -> Column:
@@ -132,7 +137,11 @@ def quality_rules(docs: DataFrame, params: QualityParams = QualityParams(), id_c
     refs = references(counts)
     languages = refs.count()
     refs = F.broadcast(refs) if languages <= params.broadcast_languages else refs
-    sized = lambda name, least: F.aggregate(F.col(name), F.lit(0).cast("long"), lambda s, v: s + v) >= least
+    total = lambda name, zero=F.lit(0).cast("long"): F.aggregate(F.col(name), zero, lambda s, v: s + v)
+    common, in_language = total("word_hist"), total("word_ref", F.lit(0.0))
+    expected = F.col("n_words") * in_language / F.greatest(F.col("ref_words"), F.lit(1.0))
+    judged = (common >= params.min_common) | (expected >= F.when(common == 0, params.min_expected_none).otherwise(params.min_expected))
+    word_distance = F.when(common == 0, 1.0).otherwise(js_distance("word_hist", "word_ref"))
     rows = counts.join(refs, "lang", "left").select(
         id_col,
         "n_words",
@@ -141,8 +150,8 @@ def quality_rules(docs: DataFrame, params: QualityParams = QualityParams(), id_c
         "n_dup_lines",
         "n_repeat_words",
         ((F.col("n_words") < params.min_words) | (100 * F.col("n_repeat_words") > params.max_repeat_percent * F.col("n_words"))).alias("base_failed"),
-        F.when(sized("char_hist", params.min_chars), js_distance("char_hist", "char_ref")).alias("char_distance"),
-        F.when(sized("word_hist", params.min_common), js_distance("word_hist", "word_ref")).alias("word_distance"),
+        F.when(total("char_hist") >= params.min_chars, js_distance("char_hist", "char_ref")).alias("char_distance"),
+        F.when((in_language > 0) & judged, word_distance).alias("word_distance"),
     )
     far = reduce(lambda a, b: a | b, [F.coalesce(F.col("char_distance") > params.max_char_distance, F.lit(False)), F.coalesce(F.col("word_distance") > params.max_word_distance, F.lit(False))])
     return rows.withColumn("kept", ~F.col("base_failed") & ~far)
