@@ -1,6 +1,8 @@
 """Licence scans: base phrases, and an exact set-similarity join of text blocks with licence templates.
 
-A block is the words from one line feed or sentence end to the next. The join finds every block whose token set
+A block is the words from one line feed or sentence end to the next, or, for wrapped text, from one blank line or
+sentence end to the next with single line feeds read as spaces; of the latter, which can be long where no sentence
+ends, a template's tokens must stand within ``spread`` times its own number of words. The join finds every block whose token set
 holds at least ``containment`` of a template's tokens: tokens are ordered by how rare they are over all texts,
 a template needs only its ``|t| - ceil(c |t|) + 1`` rarest tokens as a prefix, a block with fewer than
 ``ceil(c |t|)`` distinct tokens is passed over, and the place of the shared token bounds what can still be shared.
@@ -42,11 +44,15 @@ TEMPLATES = {
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Ends of blocks. A full stop between word characters, as in "2.0", ends none.
 END = re.compile(rb"\n|[.!?](?=\s|$)")
+#: Ends of blocks of wrapped text.
+PART_END = re.compile(rb"\n[\x20\x09\x0B-\x0D]*\n|[.!?](?=\s|$)")
 
 
 @dataclass(frozen=True)
 class LicenseParams:
     containment: float = 0.8
+    #: Width of the windows of wrapped text, in template lengths.
+    spread: int = 2
 
 
 def _tokens(text: bytes) -> list[bytes]:
@@ -68,8 +74,9 @@ class _Index:
     """Templates as token sets in order of rarity, with inverted lists of their prefixes."""
 
     def __init__(self, templates: dict[str, str], order: dict[bytes, int], params: LicenseParams):
-        self.order, self.need, self.sets, self.lists = order, {}, {}, {}
+        self.order, self.need, self.sets, self.lists, self.width = order, {}, {}, {}, {}
         for name, text in templates.items():
+            self.width[name] = params.spread * len(_tokens(text.encode()))
             held = sorted(set(_tokens(text.encode())), key=order.__getitem__)
             self.sets[name], self.need[name] = frozenset(held), ceil(params.containment * len(held))
             for place, token in enumerate(held[: len(held) - self.need[name] + 1]):
@@ -88,6 +95,25 @@ class _Index:
                     out[name] = shared / size
         return out
 
+    def wrapped(self, block: list[bytes]) -> dict[str, float]:
+        """As ``matches``, for tokens that stand close together."""
+        out: dict[str, float] = {}
+        for name in self.matches(block):
+            held, width = self.sets[name], self.width[name]
+            inside: Counter[bytes] = Counter()
+            most = 0
+            for i, word in enumerate(block):
+                if i >= width and (gone := block[i - width]) in held:
+                    inside[gone] -= 1
+                    if not inside[gone]:
+                        del inside[gone]
+                if word in held:
+                    inside[word] += 1
+                    most = max(most, len(inside))
+            if most >= self.need[name]:
+                out[name] = most / len(held)
+        return out
+
 
 def _scan(index: _Index, phrases: dict[tuple[bytes, ...], str], schema: pa.Schema):
     joined = {b" " + b" ".join(p) + b" ": label for p, label in phrases.items()}
@@ -106,10 +132,11 @@ def _scan(index: _Index, phrases: dict[tuple[bytes, ...], str], schema: pa.Schem
                 last, at = at, line.find(phrase, at + 1)
         own, best = set(), 1.0 if starts else 0.0
         if not index.lists.keys().isdisjoint(words):
-            for block in END.split(text):
-                for name, share in index.matches(WORD.findall(block)).items():
-                    own.add(name.removesuffix("-notice"))
-                    best = max(best, share)
+            found = [index.matches(WORD.findall(block)) for block in END.split(text)]
+            found += [index.wrapped(WORD.findall(block)) for block in PART_END.split(text) if b"\n" in block.strip()]
+            for name, share in (x for matches in found for x in matches.items()):
+                own.add(name.removesuffix("-notice"))
+                best = max(best, share)
         return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | own)), best
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
