@@ -3,9 +3,10 @@
 A page is read once into text nodes with their root-to-leaf tag path (tags with their class and id words). Per path
 the text length, punctuation, link text and nodes are added up; length per node and punctuation per node are
 smoothed over neighbouring paths in page order, fused with the share of text outside links, and compared with a
-share of the page's length-weighted mean. Paths at or above it are content. The content root is the marked
-article (``article``, ``main``) that holds content paths, or else the container with the most fused text; blocks of
-the root that don't stand in boilerplate (by tag, class, id or role) are the result, short ones included.
+share of the page's length-weighted mean. Paths at or above it are content. The content root is the container with
+the most fused text, where a marked article (``article``, ``main``) counts as one container; if it is one, the
+other articles are roots too. The root's blocks on content paths are the result, with its headings that are no links.
+Text in boilerplate (by tag, class, id or role) is filtered out before.
 
 Edge cases: null and empty pages and pages without content give an empty text; markup may be unclosed, nested
 wrongly or cut off; a page is processed whole, in time proportional to its length; repeated rows get equal
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript template iframe svg math object select xmp noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 OWN_KIND = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 BOILER_TAGS = frozenset("nav footer aside form button menu dialog fieldset input".split())
@@ -177,17 +179,21 @@ def main_text(html: str, params: HtmlParams = HtmlParams()) -> str:
         weight[x[1]] += len(x[5].strip())
     mean = sum(scores[p] * weight[p] for p in scores) / max(1, sum(weight[p] for p in scores))
     content = {p for p, s in scores.items() if s >= params.threshold * mean}
-    if any(x[2] is not None and x[1] in content for x in open_nodes):
-        chosen = [x for x in open_nodes if x[2] is not None]
-    else:
-        totals: dict[tuple, float] = defaultdict(float)
-        for x in open_nodes:
-            if x[1] in content:
-                steps = [i for i, step in enumerate(x[1]) if step.split(".")[0] not in INLINE]
-                totals[x[1][: steps[-1]] if steps else ()] += scores[x[1]] * len(x[5].strip())
-        best = max(totals, key=totals.get, default=())
-        own = {_block_path(p) for p in content}
-        chosen = [x for x in open_nodes if x[1][: len(best)] == best and (_block_path(x[1]) in own or not x[4])]
+    totals: dict[tuple, float] = defaultdict(float)
+    marked = set()
+    for x in open_nodes:
+        if x[1] in content:
+            steps = [i for i, step in enumerate(x[1]) if step.split(".")[0] not in INLINE]
+            # What stands in a marked article counts for the whole of it.
+            end = x[2] + 1 if x[2] is not None else steps[-1] if steps else 0
+            marked |= {x[1][:end]} if x[2] is not None else set()
+            totals[x[1][:end]] += scores[x[1]] * len(x[5].strip())
+    best = max(totals, key=totals.get, default=())
+    own = {_block_path(p) for p in content}
+    inside = [x for x in open_nodes if (x[2] is not None if best in marked else x[1][: len(best)] == best)]
+    # A heading is short by nature: it goes with what it heads, unless it is a link.
+    heads = lambda x: any(step.split(".")[0] in HEADINGS for step in x[1]) and not x[4]
+    chosen = [x for x in inside if _block_path(x[1]) in own or heads(x)]
     blocks: dict[int, list[str]] = defaultdict(list)
     for x in chosen:
         blocks[x[0]].append(x[5])
