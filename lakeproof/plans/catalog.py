@@ -514,15 +514,24 @@ def pair_samples(spark, sf_dir):
     return selection.pair_samples(_pairs(spark, sf_dir), 18)
 
 
+def _progress(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("run"), F.row_number().over(W.partitionBy("event_type").orderBy("event_id")).alias("epoch"), F.col("value").alias("f1"))
+    return selection.training_progress(e, "run", "epoch", "f1").select("run", "epoch", "best", "waited")
+
+
 @query(
     """WITH e AS (SELECT event_type AS run, row_number() OVER (PARTITION BY event_type ORDER BY event_id)::INT AS epoch, value AS f1 FROM events), b AS (SELECT *, max(f1) OVER (PARTITION BY run ORDER BY epoch ROWS UNBOUNDED PRECEDING) AS best, max(f1) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e)
 SELECT run, epoch, best, epoch - max(CASE WHEN before IS NULL OR f1 > before THEN epoch END) OVER (PARTITION BY run ORDER BY epoch ROWS UNBOUNDED PRECEDING) AS waited FROM b WHERE epoch <= 200"""
 )
 def training_progress(spark, sf_dir):
-    from pyspark.sql import Window as W
+    return _progress(spark, sf_dir).where("epoch <= 200")  # as its SQL; the whole runs are the next query
 
-    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("run"), F.row_number().over(W.partitionBy("event_type").orderBy("event_id")).alias("epoch"), F.col("value").alias("f1"))
-    return selection.training_progress(e, "run", "epoch", "f1").where("epoch <= 200").select("run", "epoch", "best", "waited")  # the first 200 epochs are the report
+
+@query()
+def training_progress_all(spark, sf_dir):
+    return _progress(spark, sf_dir)
 
 
 @query(
