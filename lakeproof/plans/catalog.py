@@ -273,6 +273,11 @@ def temperature_grid(spark, sf_dir):
     return _rounded(policy.temperature_nll(preds(spark, sf_dir), points=40))
 
 
+@query()
+def temperature_grid_full(spark, sf_dir):
+    return _rounded(policy.temperature_nll(preds(spark, sf_dir), points=400))
+
+
 @query()
 def temperature_fit(spark, sf_dir):
     return spark.createDataFrame([(round(policy.fit_temperature(preds(spark, sf_dir)), 4),)], "temperature double")
@@ -290,7 +295,16 @@ _DRAW_F1 = """f AS (SELECT d, c, 2 * count(*) FILTER (y_true = c AND {0} = c) /
 
 @query(f"""WITH {preds_sql()}, {_DRAWS.format(top="top")}, {_DRAW_F1.format("y_pred")}, v AS (SELECT d, avg(coalesce(f1, 0)) AS f1 FROM f WHERE s > 0 GROUP BY d) SELECT round(avg(f1), 6) AS mean, round(quantile_cont(f1, 0.025), 6) AS low, round(quantile_cont(f1, 0.975), 6) AS high FROM v""")
 def bootstrap_ci(spark, sf_dir):
-    return _rounded(metrics.interval(metrics.bootstrap(_top(spark, sf_dir).select("test_index", "y_true", "y_pred"), 20, _draw), "macro_f1"))
+    return _bootstrap_ci(spark, sf_dir, 20)
+
+
+@query()
+def bootstrap_ci_full(spark, sf_dir):
+    return _bootstrap_ci(spark, sf_dir, 2000)
+
+
+def _bootstrap_ci(spark, sf_dir, draws):
+    return _rounded(metrics.interval(metrics.bootstrap(_top(spark, sf_dir).select("test_index", "y_true", "y_pred"), draws, _draw), "macro_f1"))
 
 
 @query(
@@ -298,9 +312,18 @@ def bootstrap_ci(spark, sf_dir):
 SELECT round(avg(diff), 6) AS mean, round(quantile_cont(diff, 0.025), 6) AS low, round(quantile_cont(diff, 0.975), 6) AS high, round(avg((diff > 0)::INT), 6) AS positive FROM v"""
 )
 def paired_bootstrap(spark, sf_dir):
+    return _paired_bootstrap(spark, sf_dir, 20)
+
+
+@query()
+def paired_bootstrap_full(spark, sf_dir):
+    return _paired_bootstrap(spark, sf_dir, 2000)
+
+
+def _paired_bootstrap(spark, sf_dir, draws):
     a, b = _top(spark, sf_dir, 1.8), _top(spark, sf_dir, 1.6)
     rows = a.select("test_index", F.col("y_true"), "y_pred").join(b.select("test_index", F.col("y_pred").alias("other")), "test_index")
-    acc = lambda p: metrics.bootstrap(rows.select("test_index", "y_true", F.col(p).alias("y_pred")), 20, _draw).select("draw", F.col("accuracy").alias(p))
+    acc = lambda p: metrics.bootstrap(rows.select("test_index", "y_true", F.col(p).alias("y_pred")), draws, _draw).select("draw", F.col("accuracy").alias(p))
     both = acc("y_pred").join(acc("other"), "draw").select((F.col("y_pred") - F.col("other")).alias("diff"))
     out = metrics.interval(both, "diff").crossJoin(F.broadcast(both.agg(F.avg((F.col("diff") > 0).cast("int")).alias("positive"))))  # one row each
     return _rounded(out)
