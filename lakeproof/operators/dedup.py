@@ -23,9 +23,14 @@ def hamming_pairs(hashes: DataFrame, threshold: int, bits: int = 64) -> DataFram
     Of ``threshold + 1`` blocks of bits, two such hashes agree in one at least, so pairs come from an equality
     join on (block, bits). A block of k bits lets 1 in 2^k pairs through: choose hashes of many bits a threshold step."""
     blocks = threshold + 1
-    word = F.col("words")[0]
     edges = [bits * i // blocks for i in range(blocks + 1)]
-    keys = [F.struct(F.lit(i).alias("i"), F.call_function("shiftrightunsigned", word, F.lit(a)).bitwiseAND((1 << (b - a)) - 1 if b - a < 64 else -1).alias("v")) for i, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+
+    def part(a: int, b: int):
+        """Bits a to b, split where a word ends."""
+        cuts = [a, *range((a // 64 + 1) * 64, b, 64), b]
+        return F.array(*[F.call_function("shiftrightunsigned", F.col("words")[x // 64], F.lit(x % 64)).bitwiseAND((1 << (y - x)) - 1 if y - x < 64 else -1) for x, y in zip(cuts, cuts[1:])])
+
+    keys = [F.struct(F.lit(i).alias("i"), part(a, b).alias("v")) for i, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
     rows = hashes.select("id", "words", F.explode(F.array(*keys)).alias("key"))
     side = lambda s: rows.select("key", F.col("id").alias(s), F.col("words").alias(f"w_{s}"))
     near = side("a").join(side("b"), "key").where(F.col("a") < F.col("b"))
