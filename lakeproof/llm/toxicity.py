@@ -1,10 +1,10 @@
 """Toxicity by a weighted grammar of clauses.
 
 Word classes (insult, threat, target, negation, report) come from seed words and, for insults, from the labelled
-rows: words and word stems (prefixes of 4 and 5 characters) whose rows are toxic far more often than others. Five
-small transducers read the class string of a clause and are composed into one: a window of words around an insult
-or threat is rewritten to the clause kinds plain, aimed (a target stands in front or behind), negated and
-reported. A text's score is a logistic function of its clause counts' logarithms, not of isolated words.
+rows: words and word stems (prefixes of 4 and 5 characters) whose rows are toxic far more often than others. Three
+patterns read a window of words around an insult or threat, across clause and sentence ends, and tell the kinds
+aimed (a target stands in front or behind), negated and reported; what matches none is plain and still counts. This
+simplifies a composed transducer over clauses. A text's score is a logistic function of its kinds' counts' logarithms.
 
 Learning uses labelled rows only, about ``sample`` of them at most, picked by a hash of their text; language,
 source and id are never inputs of a score. The lexicon is bounded by ``lexicon`` entries and travels with the tasks.
