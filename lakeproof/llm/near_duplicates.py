@@ -211,4 +211,4 @@ def near_duplicates(docs: DataFrame, params: NearDuplicateParams = NearDuplicate
     groups = classes.join(links.of(), "rep", "left").select("key", "n", F.coalesce("component", "rep").alias("component"))
     out = sketches.select("id", "n", "key").join(groups, ["key", "n"], "left")
     found = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), found.alias("component_id"), (F.col("id") == found).alias("kept"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), found.alias("component_id"), F.coalesce(F.col("id") == found, F.lit(True)).alias("kept"))

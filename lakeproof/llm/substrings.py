@@ -24,11 +24,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeproof.llm import words as wd
-from lakeproof.llm.tables import cut
+from lakeproof.llm.tables import cut, free_name, slices
 
 
 @dataclass(frozen=True)
@@ -233,31 +233,43 @@ def repeated_ranges(docs: DataFrame, params: SubstringParams = SubstringParams()
     return hits.select("id", moved.alias("ranges")).groupBy("id").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
 
-def _kept(columns: int):
-    """The words outside the ranges, joined by one space: ``text`` and counts, for batches that end with text and ranges."""
+_KEPT = pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("kept_sha256", pa.string())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            total, gone, kept = [], [], []
-            for text, ranges in zip(wd.encoded(batch.column(columns)), batch.column(columns + 1).to_pylist()):
-                own = text.split()
-                drop = np.zeros(len(own) + 1, np.int32)
-                for r in ranges or ():
-                    drop[r["a"]] += 1
-                    drop[r["b"]] -= 1
-                keep = np.cumsum(drop[:-1]) == 0
-                total.append(len(own))
-                gone.append(int(len(own) - keep.sum()))
-                kept.append(b" ".join([own[i] for i in np.flatnonzero(keep)]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:columns], pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())], names=[*batch.schema.names[:columns], "n_words", "n_removed", "kept_text", "kept_sha256"])
 
-    return run
+def kept_words(text: Column, ranges: Column) -> Column:
+    """``n_words, n_removed, kept_text`` (the words outside the ranges, joined by one space) and ``kept_sha256`` of each row.
+
+    Only these two columns are sent to Python; all others stay where they are."""
+
+    def run(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, every in columns:
+            total, gone, kept, digests = [], [], [], []
+            for part in slices(pa.RecordBatch.from_arrays([texts, every], names=["text", "ranges"]), 0):
+                for own, drop_ranges in zip(wd.encoded(part.column(0)), part.column(1).to_pylist()):
+                    own = own.split()
+                    total.append(len(own))
+                    if drop_ranges:
+                        drop = np.zeros(len(own) + 1, np.int32)
+                        for r in drop_ranges:
+                            drop[r["a"]] += 1
+                            drop[r["b"]] -= 1
+                        own = [own[i] for i in np.flatnonzero(np.cumsum(drop[:-1]) == 0)]
+                    gone.append(total[-1] - len(own))
+                    kept.append(b" ".join(own))
+                    digests.append(hashlib.sha256(kept[-1]).hexdigest())
+            yield pa.StructArray.from_arrays([pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(digests, pa.string())], fields=list(_KEPT))
+
+    run.__annotations__ = {"columns": Iterator[tuple[pa.Array, ...]], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "n_words long, n_removed long, kept_text string, kept_sha256 string")(text, ranges)
 
 
 def remove_repeats(docs: DataFrame, params: SubstringParams = SubstringParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The other columns of ``docs`` with ``n_words, n_removed, kept_text`` (words joined by one space) and ``kept_sha256``."""
-    ranges = repeated_ranges(docs, params, id_col, text_col).withColumnRenamed("id", id_col)
-    rest = [c for c in docs.columns if c not in (text_col, "n_words", "n_removed", "kept_text", "kept_sha256", "ranges")]
-    rows = docs.select(*rest, text_col).join(ranges, id_col, "left").select(*rest, text_col, "ranges")
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
-    return rows.mapInArrow(_kept(len(rest)), f"{schema}, n_words long, n_removed long, kept_text string, kept_sha256 string")
+    ranges = repeated_ranges(docs, params, id_col, text_col)
+    own = ("n_words", "n_removed", "kept_text", "kept_sha256")
+    rest = [c for c in docs.columns if c != text_col and c not in own]
+    spare = free_name(docs, "ranges")
+    rows = docs.join(ranges.select(F.col("id").alias(id_col), F.col("ranges").alias(spare)), id_col, "left")
+    held = free_name(docs, "held")
+    rows = rows.select(*rest, kept_words(F.col(text_col), F.col(spare)).alias(held))
+    return rows.select(*rest, *[F.col(held)[c].alias(c) for c in own])

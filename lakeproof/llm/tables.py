@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +65,29 @@ def scope(name: str) -> Iterator[None]:
         _SCOPE.pop()
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front where the columns of ``df`` take it, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def slices(rows, column: int | None = None, size: int = 8 << 20):
+    """Slices of an Arrow batch or array of about ``size`` bytes of text in a string column; a longer text is a slice of its own.
+
+    Python objects made of one slice at a time stay within that size, whatever the batch holds."""
+    import pyarrow.compute as pc
+
+    texts = rows if column is None else rows.column(column)
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+        yield rows.slice(at, upto - at)
+        at = upto
+
+
 def crc(column: Column) -> Column:
     """crc32 of a value's text, as an unsigned long."""
     return F.crc32(column.cast("string").cast("binary"))

@@ -16,7 +16,7 @@ from lakeproof.llm.quality_rules import js_distance, quality_rules
 from lakeproof.llm.sharding import ShardParams, shard_documents
 from lakeproof.llm.substrings import SubstringParams, remove_repeats, repeated_windows
 from lakeproof.session import ship
-from lakeproof.llm.toxicity import Grammar, fit, toxicity
+from lakeproof.llm.toxicity import fit, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, n_words int, words string, component_id string"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -204,12 +204,6 @@ def test_toxicity(spark, docs, nothing):
     assert toxicity(nothing, fit(train.limit(0))).count() == 0
 
 
-def test_clauses():
-    g = Grammar({b"idiot": 1.0})
-    kinds = [g.clauses(t.encode()).argmax() for t in ("what idiot stuff", "you idiot", "never an idiot", "She said idiot")]
-    assert kinds == [0, 1, 2, 3]
-
-
 def test_scores(docs, nothing):
     k = 2
     got = by_id(lm_scores(docs, LmParams(order=k, block_bytes=50_000)))

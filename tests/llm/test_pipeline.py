@@ -1,11 +1,16 @@
 """The encoder against the installed library, and the pipeline's stages on a small corpus."""
 
+import itertools
+import re
+from collections import Counter
+
 import numpy as np
 import pytest
 
 import corpus_pipeline
 from lakeproof.llm.sentence_pieces import PieceModel, decode_documents, encode_documents, read_model
-from lakeproof.llm.tables import table, tokenizer_path
+from lakeproof.llm.tables import cut, table, tokenizer_path
+from lakeproof.llm.toxicity import seeded
 from lakeproof.session import ship
 
 SF = "/root/testdata/sf0.001"
@@ -60,6 +65,78 @@ def test_stages(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0
 
 
+def spaced(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+def kept_near(docs):
+    """Ids of the least document of every group, by the definition."""
+    sets = {i: frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4)) or (frozenset([tuple(w)]) if w else frozenset()) for i, t in docs.items() for w in [spaced((t or "").lower())]}
+    group = {i: i for i in docs}
+    for a, b in itertools.combinations(sorted(docs), 2):
+        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) and group[a] != group[b]:
+            low, high = sorted((group[a], group[b]))
+            group = {i: low if g == high else g for i, g in group.items()}
+    return {i for i, g in group.items() if i == g}
+
+
+def cut_by_hand(docs):
+    words = {i: spaced(t) for i, t in docs.items()}
+    seen = Counter(tuple(w[j : j + 35]) for w in words.values() for j in range(len(w) - 34))
+    out = {}
+    for i, w in words.items():
+        gone = {j + k for j in range(len(w) - 34) if seen[tuple(w[j : j + 35])] > 1 for k in range(35)}
+        kept = " ".join(x for j, x in enumerate(w) if j not in gone)
+        if not gone or kept:
+            out[i] = kept if gone else docs[i]
+    return out
+
+
+def clean_by_hand(docs, items):
+    alnum = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").lower())
+    windows = {tuple(w[j : j + 10]) for t in items for w in [alnum(t)] for j in range(max(len(w) - 9, min(len(w), 1)))}
+    lengths = {len(w) for w in windows}
+    return {i: t for i, t in docs.items() if not any(tuple(w[j : j + n]) in windows for w in [alnum(t)] for n in lengths for j in range(len(w) - n + 1))}
+
+
+def test_stages_against_plain_python(spark, tmp_path, model):
+    """All stages over planted cases, with nulls, a very long text, repeated rows and extra columns of clashing names."""
+    ship(spark)
+    rng = np.random.default_rng(3)
+    prose = lambda n: " ".join(f"w{rng.integers(5_000)}" for _ in range(n))
+    base, passage, item, long = prose(120), prose(60), prose(14), prose(20_000)
+    texts = [None, "", "  ", "one", base, base, base + " and a tail", prose(80) + " " + passage, passage + " " + prose(90), prose(50) + " " + item + " " + prose(20), long, long + " end", prose(30)]
+    texts += ["You idiot, you moron. You idiot, you scum. " + prose(20), "He said: you idiot. " + prose(20), prose(70), prose(70)]
+    rows = [(i, t, "en", None, len(t or ""), 9.0, "x", "y", 1, None, True) for i, t in enumerate(texts)]
+    rows.append(rows[12])
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, scored_text string, ranges string, held int, Kept_Text string, kept boolean"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = table(spark, str(tmp_path), "documents")
+    grammar = seeded()
+    want = {i: t for i, t in enumerate(texts)}
+    by_hand = [
+        lambda d: {i: t for i, t in d.items() if grammar.score(t or "") < 0.5},
+        lambda d: {i: d[i] for i in kept_near(d)},
+        cut_by_hand,
+        lambda d: clean_by_hand(d, [item]),
+    ]
+    for (name, stage), expected in zip(corpus_pipeline.STAGES, by_hand):
+        before, docs = docs, cut(stage(spark, docs, str(tmp_path)), name)
+        want = expected(want)
+        assert docs.columns == before.columns
+        got = docs.collect()
+        assert {r.doc_id: r.text for r in got} == want, name
+        assert Counter(r.doc_id for r in got)[12] == (2 if name == "toxicity" else 1)
+        assert all((r.score, r.scored_text, r.ranges, r.held, r.Kept_Text, r.kept, r.source) == (9.0, "x", "y", 1, None, True, None) and r.n_chars == len(r.text or "") for r in got)
+    sentencepiece = pytest.importorskip("sentencepiece")
+    lib = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path())
+    out = corpus_pipeline.STAGES[4][1](spark, docs, str(tmp_path)).collect()
+    assert {r.doc_id: r.ids for r in out} == {i: lib.encode(t or "") for i, t in want.items()}
+    assert 13 not in want and 14 in want and 5 not in want and 9 not in want and 11 not in want
+
+
 def test_run(spark):
     n = table(spark, SF, "documents").count()
     rows = corpus_pipeline.run(spark, SF).collect()
