@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeproof.llm import words as wd
-from lakeproof.llm.tables import cut, held_out
+from lakeproof.llm.tables import cut, held_out, slices
 
 END = np.uint64(0x0E0D0F7E75)
 WORDS = 0
@@ -92,7 +92,7 @@ def _counter(order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {WORDS: _Sum(), order: _Sum()}
         ends = 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 0)):
             texts = wd.encoded(batch.column(0))
             ends += len(texts)
             for _, hashes, _ in _tokens(texts):
@@ -209,7 +209,7 @@ def _scorer(order: int, short: list[tuple[np.ndarray, np.ndarray, np.ndarray]],
         texts = wd.encoded(group.column("text").combine_chunks())
         base, score = np.zeros(len(texts)), np.zeros(len(texts))
         total, some = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-        floor = np.log10(tokens + alpha * (distinct + 1)) if distinct else 0.0
+        floor = np.log10(tokens + alpha * (distinct + 1))
 
         def count(h: np.ndarray) -> np.ndarray:
             if not len(names):

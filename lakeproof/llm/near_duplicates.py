@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from lakeproof.llm import words as wd
 from lakeproof.llm.graph import components
-from lakeproof.llm.tables import cut
+from lakeproof.llm.tables import cut, slices
 
 
 @dataclass(frozen=True)
@@ -61,7 +61,7 @@ def shingle_sets(texts: list[bytes], n: int) -> Iterator[np.ndarray]:
 
 def _sketcher(n: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             sizes, keys, sketches = [], [], []
             for held in shingle_sets(wd.encoded(batch.column(1)), n):
                 sizes.append(len(held))
@@ -75,7 +75,7 @@ def _sketcher(n: int, k: int):
 
 def _full(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             sets = [x.astype(np.int64) for x in shingle_sets(wd.encoded(batch.column(1)), n)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "held"])
 

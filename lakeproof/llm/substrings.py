@@ -75,7 +75,7 @@ def _segmenter(p: SubstringParams):
     schema = ("m", "id", "start", "n", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             for at, chunk in wd.chunks(wd.encoded(batch.column(1)), wd.SPACED):
                 text, start, size, m, places = segments(chunk, chunk.hashes(), p)
                 yield pa.RecordBatch.from_arrays([pa.array(m), batch.column(0).take(pa.array(text + at)), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(places.astype(np.int32))], names=schema)
@@ -85,7 +85,7 @@ def _segmenter(p: SubstringParams):
 
 def _cutter(p: SubstringParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             wanted = batch.column(2).to_pylist()
             ids = batch.column(0)
             for at, chunk in wd.chunks(wd.encoded(batch.column(1)), wd.SPACED):

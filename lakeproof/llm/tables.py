@@ -20,8 +20,14 @@ _DIRS: list[tuple[SparkSession, str, str]] = []
 _SCOPE = [""]
 
 
+#: Rows of an Arrow batch of texts. Spark's own 10,000 hold tens of MB on either side of the pipe to Python, per core.
+ARROW_ROWS = 1_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # nobody has chosen another size
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

@@ -26,6 +26,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from math import log
 
 import numpy as np
@@ -181,6 +182,7 @@ def transducers(reach: int = 4) -> list[Transducer]:
     ]
 
 
+@lru_cache(maxsize=4)
 def composed(reach: int = 4) -> Transducer:
     out, *rest = transducers(reach)
     for then in rest:
@@ -217,7 +219,7 @@ class _Symbols(dict):
             found = "." if token[0] in ".!?…\n" else BREAK
         else:
             found = INSULT if self.grammar.weight(token) else _CLASSES.get(token, OTHER)
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[token] = found
         return found
@@ -249,11 +251,11 @@ class Grammar:
 
     def kinds(self, sentence: str) -> str:
         """The transducer's output for a sentence's symbols."""
-        machine = self.__dict__.get("_machine") or self.__dict__.setdefault("_machine", composed(self.reach))
+        machine = composed(self.reach)
         known = self.__dict__.setdefault("_known", {})
         found = known.get(sentence)
         if found is None:
-            if len(known) > 100_000:
+            if len(known) > 20_000:
                 known.clear()
             best = machine.best(sentence)
             found = known[sentence] = best[1] if best else ""

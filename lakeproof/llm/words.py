@@ -28,6 +28,8 @@ _GRAM = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(
 _BASE = 0x9E3779B97F4A7C15 | 1
 _UNBASE = pow(_BASE, -1, 2**64)
 _POWERS: dict[int, np.ndarray] = {}
+#: Bytes hashed at a time, about.
+_PIECE = 1 << 20
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -38,7 +40,7 @@ def _powers(base: int, n: int) -> np.ndarray:
         have[0] = 1
         with np.errstate(over="ignore"):
             have = np.multiply.accumulate(have)
-        if size > 1 << 24:  # of one huge text: not worth keeping
+        if n > _PIECE:  # for one huge word: not worth keeping
             return have
         _POWERS[base] = have
     return have
@@ -67,14 +69,23 @@ class Chunk:
         self.first = np.searchsorted(self.start, self.offset)
 
     def hashes(self) -> np.ndarray:
-        n = len(self.data)
-        with np.errstate(over="ignore"):
-            sums = np.zeros(n + 1, np.uint64)
-            np.cumsum(_BYTE[self.data] * _powers(_BASE, n)[:n], out=sums[1:])
-            return mix((sums[self.end] - sums[self.start]) * _powers(_UNBASE, n)[self.start])
-
-
-def chunks(texts: list[bytes], breaks: np.ndarray, lower: bool = False, size: int = 1 << 21) -> Iterator[tuple[int, Chunk]]:
+        """The hash of every word, by pieces of the text, so that what is held at a time doesn't grow with it."""
+        out = np.empty(len(self.start), np.uint64)
+        at = 0
+        while at < len(self.start):
+            low = self.start[at]
+            upto = max(at + 1, int(np.searchsorted(self.end, low + _PIECE, "right")))
+            start, end = self.start[at:upto] - low, self.end[at:upto] - low
+            n = int(end[-1])
+            with np.errstate(over="ignore"):
+                sums = np.zeros(n + 1, np.uint64)
+                np.cumsum(_BYTE[self.data[low : low + n]] * _powers(_BASE, n)[:n], out=sums[1:])
+                out[at:upto] = mix((sums[end] - sums[start]) * _powers(_UNBASE, n)[start])
+            at = upto
+        return out
+
+
+def chunks(texts: list[bytes], breaks: np.ndarray, lower: bool = False, size: int = 1 << 20) -> Iterator[tuple[int, Chunk]]:
     """Chunks of about ``size`` bytes, each with the index of its first text; a longer text is one chunk."""
     at, held = 0, 0
     for i, t in enumerate(texts):
