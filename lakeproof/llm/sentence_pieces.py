@@ -64,6 +64,24 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
         yield tag >> 3, value
 
 
+class _Remembered:
+    """A table of two generations: what is not asked for again while one fills up is forgotten."""
+
+    def __init__(self) -> None:
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def renew(self, most: int) -> None:
+        if len(self.young) > most:
+            self.old, self.young = self.young, {}
+
+    def recall(self, key):
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.young[key] = found
+        return found
+
+
 @dataclass
 class PieceModel:
     pieces: list[str]
@@ -72,10 +90,10 @@ class PieceModel:
     model: int = UNIGRAM
     dummy_prefix: bool = True
     squeeze: bool = True
-    #: Parts and pairs remembered, at most.
-    memory: int = 500_000
-    _parts: dict = field(default_factory=dict, repr=False)
-    _pairs: dict = field(default_factory=dict, repr=False)
+    #: Parts and pairs in the young generation of what is remembered, about, at most.
+    memory: int = 40_000
+    _parts: _Remembered = field(default_factory=_Remembered, repr=False)
+    _pairs: _Remembered = field(default_factory=_Remembered, repr=False)
 
     @classmethod
     def parse(cls, data: bytes) -> PieceModel:
@@ -161,14 +179,13 @@ class PieceModel:
         return good
 
     def _pair(self, code: int) -> bool:
-        known = self._pairs.get(code)
+        known = self._pairs.recall(code)
         if known is None:
-            if len(self._pairs) >= self.memory:
-                self._pairs.clear()
+            self._pairs.renew(self.memory)
             pair = [self._text((code & 0xFFFFFFFF) - _SHIFT)]
             if code >> 32:
                 pair.insert(0, self._text((code >> 32) - _SHIFT - 1))
-            known = self._pairs[code] = self.merged("".join(pair)) == pair
+            known = self._pairs.young[code] = self.merged("".join(pair)) == pair
         return known
 
     def _viterbi(self, words: list[str]) -> list[bytes]:
@@ -246,17 +263,17 @@ class PieceModel:
         """Ids as 32-bit numbers. Parts are remembered as bytes, which the collector of cycles has not to walk."""
         split = [self.parts.findall(self.escaped(t)) for t in texts]
         fresh: dict[int, set[str]] = {}
-        if len(self._parts) > self.memory:
-            self._parts.clear()
+        self._parts.renew(self.memory)
         for own in split:
-            for w in set(own).difference(self._parts):
-                fresh.setdefault(len(w), set()).add(w)
+            for w in set(own).difference(self._parts.young):
+                if self._parts.recall(w) is None:
+                    fresh.setdefault(len(w), set()).add(w)
         for group in fresh.values():
             words = list(group)
             step = max(1, 1_000_000 // len(words[0]))
             for i in range(0, len(words), step):
-                self._parts.update(zip(words[i : i + step], self._viterbi(words[i : i + step])))
-        held = self._parts.__getitem__
+                self._parts.young.update(zip(words[i : i + step], self._viterbi(words[i : i + step])))
+        held = self._parts.young.__getitem__
         return [b"".join(map(held, own)) for own in split]
 
     def decode(self, ids: list[int]) -> str:
