@@ -9,8 +9,9 @@ other articles are roots too. The root's blocks on content paths are the result,
 Text in boilerplate (by tag, class, id or role) is filtered out before.
 
 Edge cases: null and empty pages and pages without content give an empty text; markup may be unclosed, nested
-wrongly or cut off; a page is processed whole, in time proportional to its length; repeated rows get equal
-results; an empty table gives an empty result.
+wrongly or cut off; a page is processed whole, in time proportional to its length and whatever its depth; of roots of
+equal text the first is taken; repeated rows get equal results; an empty table gives an empty result; other columns
+are passed on, but ``text`` and ``n_chars``, which the result has of its own, are replaced.
 """
 
 from __future__ import annotations
@@ -40,7 +41,9 @@ BOILER_WORDS = frozenset(
 )
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
-TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<!--.*?(?:-->|\Z)|<[!?/][^>]*+>""", re.S)
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<!--.*?(?:-->|\Z)|<[!?/][^>]+>""", re.S)
+#: Tags of a page whose quotes don't pair.
+LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<!--.*?(?:-->|\Z)|<[!?/][^>]+>", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，]")
 
@@ -54,48 +57,66 @@ class HtmlParams:
 
 
 class _Page:
-    """Text nodes of one page: ``(block, path, root, boiler, in_link, text)``."""
+    """Text nodes of one page: ``(block, path, root, boiler, in_link, text)``.
+
+    Paths are numbers, each with its ``parent``, its ``block`` (the path up to its last block element) and whether
+    a ``heading`` is on it; 0 is the empty path. What a node needs to know of the elements around it is handed down as
+    they open, so that depth costs nothing."""
 
     def __init__(self, html: str):
         self.nodes: list[tuple] = []
-        self._stack: list[tuple] = []  # (tag, step, boiler, root)
-        self._block = 0
+        self.parent, self.block, self.heading = [0], [0], [False]
+        self._numbers: dict[tuple[int, str], int] = {}
+        self._stack: list[tuple] = []  # (tag, path, boiler, root, in_link, place of the last block element)
+        self._open_at: dict[str, list[int]] = defaultdict(list)
+        self._at_block = 0
         self._read(html)
 
     def _read(self, html: str) -> None:
-        at = 0
-        while at < len(html):
-            found = TAG.search(html, at)
+        at, text_from, last, pattern, never = 0, 0, html.rfind(">"), TAG, set()
+        while (place := html.find("<", at)) >= 0:
+            found = pattern.match(html, place) if place < last or html.startswith("<!--", place) else None
+            if not found and pattern is TAG and place < last and (found := LOOSE.match(html, place)):
+                pattern = LOOSE
             if not found:
-                self._text(html[at:])
-                return
-            self._text(html[at : found.start()])
-            at = found.end()
+                at = place + 1
+                continue
+            self._text(html[text_from:place])
+            at = text_from = found.end()
             if not (name := found[2]):
                 continue
             name = name.lower()
             if found[1]:
                 self._close(name)
             elif name in RAW:
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
-                if not end and name in ("script", "style"):
+                end = None if name in never else re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
+                if end:
+                    at = text_from = end.end()
+                elif name in ("script", "style"):
                     return
-                at = end.end() if end else at
+                else:
+                    never.add(name)
             else:
                 self._open(name, found[3] or "")
+        self._text(html[text_from:])
+
+    def _path(self, parent: int, tag: str, step: str) -> int:
+        number = self._numbers.get((parent, step))
+        if number is None:
+            number = self._numbers[parent, step] = len(self.parent)
+            self.parent.append(parent)
+            self.block.append(self.block[parent] if tag in INLINE else number)
+            self.heading.append(self.heading[parent] or tag in HEADINGS)
+        return number
 
     def _text(self, raw: str) -> None:
-        if not raw:
-            return
-        text = unescape(raw)
-        path = tuple(s[1] for s in self._stack)
-        boiler = any(s[2] for s in self._stack)
-        root = next((i for i, s in enumerate(self._stack) if s[3]), None)
-        self.nodes.append((self._block, path, root, boiler, any(s[0] == "a" for s in self._stack), text))
+        if raw:
+            _, path, boiler, root, in_link, _ = self._stack[-1] if self._stack else ("", 0, False, None, False, -1)
+            self.nodes.append((self._at_block, path, root, boiler, in_link, unescape(raw)))
 
     def _open(self, name: str, attributes: str) -> None:
         if name == "br" or name not in INLINE:
-            self._block += 1
+            self._at_block += 1
         if name in VOID:
             return
         if name in ENDS_P:
@@ -113,34 +134,41 @@ class _Page:
                 roles.update(value.split())
             else:
                 hidden |= key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
+        _, above, in_boiler, in_root, in_link, block = self._stack[-1] if self._stack else ("", 0, False, None, False, -1)
         root = name in ("article", "main") or "main" in roles or "article" in roles
-        inside = any(s[3] for s in self._stack)
+        inside = in_root is not None
         boiler = hidden or name in BOILER_TAGS or bool(roles & BOILER_ROLES) or name == "header" and not inside
         if name not in ("html", "body", "main"):
             boiler |= bool(words & BOILER_WORDS) and not (name == "article" and not words & {"comment", "ad", "advert", "promo", "sponsored", "related", "reply"}) and not (name == "header" and inside and words <= {"header", "article", "entry", "post", "title"})
-        self._stack.append((name, name + "".join(f".{w}" for w in sorted(words)), boiler, root and not boiler))
+        path = self._path(above, name, name + "".join(f".{w}" for w in sorted(words)))
+        own_root = path if root and not boiler and in_root is None else in_root
+        self._open_at[name].append(len(self._stack))
+        self._stack.append((name, path, in_boiler or boiler, own_root, in_link or name == "a", block if name in INLINE else len(self._stack)))
+
+    def _last(self, name: str) -> int:
+        """The place of the innermost open element of a name, or -1."""
+        return self._open_at[name][-1] if self._open_at.get(name) else -1
+
+    def _pop(self, place: int) -> None:
+        while len(self._stack) > place:
+            self._open_at[self._stack.pop()[0]].pop()
 
     def _up_to(self, name: str, bounds: tuple) -> None:
-        for i in range(len(self._stack) - 1, -1, -1):
-            if self._stack[i][0] == name:
-                del self._stack[i:]
-                return
-            if self._stack[i][0] in bounds:
-                return
+        place = self._last(name)
+        if place >= 0 and all(self._last(b) < place for b in bounds if b != name):
+            self._pop(place)
 
     def _close(self, name: str) -> None:
+        place = self._last(name)
         if name not in INLINE:
-            self._block += 1
-        strong = name not in INLINE
-        for i in range(len(self._stack) - 1, -1, -1):
-            if self._stack[i][0] == name:
-                del self._stack[i:]
-                return
-            if not strong and self._stack[i][0] not in INLINE:
-                return
+            self._at_block += 1
+            if place >= 0:
+                self._pop(place)
+        elif place > self._stack[-1][5] if self._stack else False:
+            self._pop(place)
 
 
-def path_scores(nodes: list[tuple], params: HtmlParams) -> dict[tuple, float]:
+def path_scores(nodes: list[tuple], params: HtmlParams) -> dict[int, float]:
     """The fused ratio of every tag path."""
     chars, marks, links, counts = defaultdict(int), defaultdict(int), defaultdict(int), defaultdict(int)
     for _, path, _, _, in_link, text in nodes:
@@ -159,18 +187,10 @@ def path_scores(nodes: list[tuple], params: HtmlParams) -> dict[tuple, float]:
     return {p: a * (1 + b) * (1 - links[p] / chars[p]) for p, a, b in zip(order, smoothed(chars), smoothed(marks))}
 
 
-def _block_path(path: tuple) -> tuple:
-    """A path up to its last block element."""
-    n = len(path)
-    while n and path[n - 1].split(".")[0] in INLINE:
-        n -= 1
-    return path[:n]
-
-
 def main_text(html: str, params: HtmlParams = HtmlParams()) -> str:
     """The main text of a page: blocks in page order, joined by one space."""
-    nodes = _Page(html).nodes
-    open_nodes = [x for x in nodes if not x[3]]
+    page = _Page(html)
+    open_nodes = [x for x in page.nodes if not x[3]]
     scores = path_scores(open_nodes, params)
     if not scores:
         return ""
@@ -179,21 +199,22 @@ def main_text(html: str, params: HtmlParams = HtmlParams()) -> str:
         weight[x[1]] += len(x[5].strip())
     mean = sum(scores[p] * weight[p] for p in scores) / max(1, sum(weight[p] for p in scores))
     content = {p for p, s in scores.items() if s >= params.threshold * mean}
-    totals: dict[tuple, float] = defaultdict(float)
+    totals: dict[int, float] = defaultdict(float)
     marked = set()
     for x in open_nodes:
         if x[1] in content:
-            steps = [i for i, step in enumerate(x[1]) if step.split(".")[0] not in INLINE]
             # What stands in a marked article counts for the whole of it.
-            end = x[2] + 1 if x[2] is not None else steps[-1] if steps else 0
-            marked |= {x[1][:end]} if x[2] is not None else set()
-            totals[x[1][:end]] += scores[x[1]] * len(x[5].strip())
-    best = max(totals, key=totals.get, default=())
-    own = {_block_path(p) for p in content}
-    inside = [x for x in open_nodes if (x[2] is not None if best in marked else x[1][: len(best)] == best)]
+            holder = x[2] if x[2] is not None else page.parent[page.block[x[1]]]
+            marked |= {holder} if x[2] is not None else set()
+            totals[holder] += scores[x[1]] * len(x[5].strip())
+    best = max(totals, key=totals.get, default=0)
+    own = {page.block[p] for p in content}
+    under = [best == 0]  # whether a path leads through the root
+    for p in range(1, len(page.parent)):
+        under.append(p == best or under[page.parent[p]])
+    inside = [x for x in open_nodes if (x[2] is not None if best in marked else under[x[1]])]
     # A heading is short by nature: it goes with what it heads, unless it is a link.
-    heads = lambda x: any(step.split(".")[0] in HEADINGS for step in x[1]) and not x[4]
-    chosen = [x for x in inside if _block_path(x[1]) in own or heads(x)]
+    chosen = [x for x in inside if page.block[x[1]] in own or page.heading[x[1]] and not x[4]]
     blocks: dict[int, list[str]] = defaultdict(list)
     for x in chosen:
         blocks[x[0]].append(x[5])

@@ -23,3 +23,30 @@ def test_short_items_beside_prose_stay():
     assert main_text(f"<main>{sections}</main>") == f"S0 {WANT} S1 {WANT}"
     posts = "".join(f"<article class='{c}'>{LONG}</article>" for c in ("news", "sport"))
     assert main_text(f"<body>{posts}</body>") == f"{WANT} {WANT}"
+
+
+def test_threshold_decides_inside_an_article():
+    from lakeproof.llm.html_text import HtmlParams
+
+    page = f"<body><article>{LONG}<div class='x'>Read on, there</div>{LINKS}</article></body>"
+    low, usual, high = (main_text(page, HtmlParams(threshold=x)) for x in (-1.0, 0.1, 50.0))
+    assert "Other page 3" in low and "Other page" not in usual and usual.startswith(WANT) and high == ""
+
+
+def test_time_follows_length():
+    import time
+
+    for piece in ("<div>x, y.", "<b>x, y.", "<a ", "<title>", "<b><div><i>x, y.</b>", '<a "', "<!x"):
+        began = time.process_time()
+        main_text(piece * 60_000 + ">")
+        assert time.process_time() - began < 40, piece
+
+
+def test_repeated_and_tied_pages(spark):
+    from lakeproof.llm.html_text import extract_text
+    from lakeproof.session import ship
+
+    ship(spark)
+    twins = "<body><div class='a'><p>One text, here.</p></div><div class='b'><p>One text, too.</p></div></body>"
+    df = spark.createDataFrame([(i, "u", twins, "x", 1) for i in (1, 1, 2)], "page_id long, url string, html string, text string, ranges int")
+    assert {(r.page_id, r.text, r.ranges) for r in extract_text(df).collect()} == {(1, main_text(twins), 1), (2, main_text(twins), 1)}
