@@ -5,13 +5,14 @@ sentence end to the next with single line feeds read as spaces; of the latter, w
 ends, a template's tokens must stand within ``spread`` times its own number of words. The join finds every block whose token set
 holds at least ``containment`` of a template's tokens: tokens are ordered by how rare they are over all texts,
 a template needs only its ``|t| - ceil(c |t|) + 1`` rarest tokens as a prefix, a block with fewer than
-``ceil(c |t|)`` distinct tokens is passed over, and the place of the shared token bounds what can still be shared.
+``ceil(c |t|)`` distinct tokens is passed over, and the places of the first shared token in both orders bound what can still be shared.
 
 The templates are a parameter (a bounded list of sentences), so they travel with the tasks. Token frequencies
 are counted over all texts, for the templates' tokens.
 
-Edge cases: null is empty; an empty text has no words, no labels and score 0; repeated rows get equal results;
-an empty table gives an empty result; other columns are ignored.
+Edge cases: null is empty; an empty text has no words, no labels and score 0; texts are read whole, however long;
+tokens of equal count stand in the order of their bytes, and all templates that match count; repeated rows get equal
+results; an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -84,15 +85,24 @@ class _Index:
         self.least = min(self.need.values(), default=0)
 
     def matches(self, block: list[bytes]) -> dict[str, float]:
+        """Templates with the share of their tokens that a block holds, from the containment on.
+
+        A block's tokens that no template has can't be shared; the others stand in the same order as the templates'.
+        The first one that a template's prefix has too, at its places on both sides, bounds what can be shared."""
         out: dict[str, float] = {}
-        if len(block) < self.least or not (seen := self.lists.keys() & block):
+        if len(block) < self.least or self.lists.keys().isdisjoint(block):
             return out
-        held = frozenset(block)
-        for token in seen:
-            for name, place in self.lists[token]:
-                need, size = self.need[name], len(self.sets[name])
-                if name not in out and len(held) >= need and size - place >= need and (shared := len(self.sets[name] & held)) >= need:
-                    out[name] = shared / size
+        held = sorted(self.order.keys() & block, key=self.order.__getitem__)
+        met = set()
+        for place, token in enumerate(held):
+            if len(held) - place < self.least:  # beyond the block's prefix for any template
+                break
+            for name, own in self.lists.get(token, ()):
+                if name not in met:
+                    met.add(name)
+                    need, size = self.need[name], len(self.sets[name])
+                    if min(size - own, len(held) - place) >= need and (shared := len(self.sets[name].intersection(held))) >= need:
+                        out[name] = shared / size
         return out
 
     def wrapped(self, block: list[bytes]) -> dict[str, float]:
