@@ -46,9 +46,15 @@ def headline(cm: DataFrame, by: tuple[str, ...] = (), average: str = "present")
 def auroc(preds: DataFrame, classes: int) -> DataFrame:
     """One-vs-rest AUROC per class by average ranks; null where a class has no positive or no negative."""
     long = preds.select("y_true", F.posexplode("probs").alias("cls", "p"))
-    w = W.partitionBy("cls")
-    rank = F.rank().over(w.orderBy("p")).cast("double") + (F.count("*").over(W.partitionBy("cls", "p")) - 1) / 2.0
-    sums = long.withColumn("r", rank).groupBy("cls").agg(F.count_if(F.col("y_true") == F.col("cls")).alias("pos"), F.count_if(F.col("y_true") != F.col("cls")).alias("neg"), F.sum(F.when(F.col("y_true") == F.col("cls"), F.col("r")).otherwise(0.0)).alias("s"))
+    equal = long.groupBy("cls", "p").agg(F.count("*").alias("n"), F.count_if(F.col("y_true") == F.col("cls")).alias("pos"))
+    # Ranks in two levels, over ranges of p and inside them, so that no task has to sort a whole class.
+    equal = equal.withColumn("range", F.floor(F.greatest(F.least(F.col("p"), F.lit(1.0)), F.lit(0.0)) * 4096))
+    ranges = equal.groupBy("cls", "range").agg(F.sum("n").alias("n"))
+    first = F.coalesce(F.sum("n").over(W.partitionBy("cls").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inside = F.coalesce(F.sum("n").over(W.partitionBy("cls", "range").orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranked = equal.withColumn("inside", inside).join(ranges.select("cls", "range", first.alias("first")), ["cls", "range"])
+    rank = F.col("first") + F.col("inside") + (F.col("n") + 1) / 2.0
+    sums = ranked.groupBy("cls").agg(F.sum("pos").alias("pos"), F.sum(F.col("n") - F.col("pos")).alias("neg"), F.sum(F.col("pos") * rank).alias("s"))
     return sums.where(F.col("cls") < classes).select("cls", "pos", "neg", F.try_divide(F.col("s") - F.col("pos") * (F.col("pos") + 1) / 2.0, (F.col("pos") * F.col("neg")).cast("double")).alias("auroc"))
 
 

@@ -33,7 +33,8 @@ def naive_split(rows: DataFrame, key: str, label: str, seed: int = 42, fractions
 
 def group_split(rows: DataFrame, key: str, label: str, group: str, seed: int = 42, fractions: dict[str, float] = FRACTIONS) -> DataFrame:
     """Whole groups to splits so that classes keep their shares: largest groups first in a seeded order, each to the
-    split that lacks most of the group's dominant class, then most rows, then the greatest name.
+    split that lacks most of the group's dominant class, then the greatest name. Which split lacks most rows of all classes
+    isn't asked among equals: classes would have to wait for each other.
 
     Only groups of several rows need the sequential rule, one class at a time; single rows fill each split's open quota by rank.
     """

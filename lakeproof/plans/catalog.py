@@ -618,3 +618,6 @@ def fieldlog_stream(spark, sf_dir):
     journal_lines(spark, sf_dir).write.text(f"{root}/lines")
     rows = journal.windowed(journal.journal_stream(spark, f"{root}/lines"))
     return _rounded(journal.run_to_table(rows, f"journal_{uuid.uuid4().hex}", f"{root}/state"))
+
+
+from lakeproof.plans import reports  # noqa: E402, F401  registers its queries here
