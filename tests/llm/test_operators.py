@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lakeproof.llm.decontamination import contamination
 from lakeproof.llm.html_text import extract_text, main_text
@@ -204,8 +205,8 @@ def test_toxicity(spark, docs, nothing):
     assert toxicity(nothing, fit(train.limit(0))).count() == 0
 
 
-def test_scores(docs, nothing):
-    k = 2
+@pytest.mark.parametrize("k", [2, 4])
+def test_scores(docs, nothing, k):
     got = by_id(lm_scores(docs, LmParams(order=k, block_bytes=50_000)))
     import zlib
     from math import isclose, log10
@@ -247,6 +248,13 @@ def test_scores(docs, nothing):
     assert lm_scores(nothing).count() == 0
 
 
+def test_scores_without_training(docs):
+    """No row to learn from: every byte is one of 256, and the base formula gives 0."""
+    for r in lm_scores(docs, is_held_out=F.lit(True)).where("doc_id < 9").collect():
+        size = len((TEXTS[r.doc_id] or "").encode()) + 1
+        assert r.train_tokens == 0 and abs(r.base_score) < 1e-9 and abs(r.score + size * np.log10(256)) < 1e-6
+
+
 def test_shards(spark, docs, nothing):
     rng = np.random.default_rng(7)
     texts = [prose(i, int(rng.integers(5, 60))) for i in range(600)] + ["same " * 20] * 300 + [None, ""]
