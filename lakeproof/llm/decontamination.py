@@ -8,8 +8,10 @@ around the place, kept with it, decide.
 
 Lower-casing is of A-Z alone; the join key is lower-cased further, which can only add candidates.
 
-Edge cases: null and empty texts have no words, as documents and as items; ids are taken as unique, and repeated
-rows get equal results; an empty benchmark leaves all documents clean; other columns are ignored.
+Edge cases: null and empty texts have no words, as documents and as items; very long texts are searched whole, in
+time and shuffle in proportion to their words; ids are taken as unique, null being one of them, and repeated rows get
+equal results; of a window's equally rare shingles the one with the least hash is the prefix; an empty benchmark
+leaves all documents clean; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -62,15 +64,17 @@ def window_hits(docs: DataFrame, items: DataFrame, params: DecontaminationParams
         parts = own.select("window_id", "phrase", "item_id", "size", "window", F.explode(F.sequence(F.lit(0), F.col("size") - n)).alias("offset"))
         parts = parts.select("window_id", "phrase", "item_id", "size", "offset", _key(F.col("window"), F.col("offset"), n).alias("key"))
         keys = parts.select("key").distinct()
-        if keys.count() <= params.broadcast_shingles:
-            keys = F.broadcast(keys)
-        places = docs.select(id_col, _words(F.col(text_col)).alias("words")).where(F.size("words") >= n)
-        places = places.select(id_col, "words", F.posexplode("words").alias("pos", "word"))
+        texts = docs.select(id_col, _words(F.col(text_col)).alias("words")).where(F.size("words") >= n)
+        places = texts.select(id_col, "words", F.posexplode("words").alias("pos", "word"))
         places = places.select(id_col, "pos", "words", _key(F.col("words"), F.col("pos"), n).alias("key"))
+        if keys.count() <= params.broadcast_shingles:
+            places = places.join(F.broadcast(keys), "key", "left_semi")
+        else:  # keys are shuffled without the text, which comes back once for all its places
+            held = places.select(F.col(id_col).alias("_own"), "pos", "key").join(keys, "key", "left_semi").groupBy("_own").agg(F.collect_list(F.struct("pos", "key")).alias("places"))
+            places = texts.join(held, F.col(id_col).eqNullSafe(F.col("_own"))).select(id_col, "words", F.inline("places"))
         left = F.greatest(F.col("pos") - reach, F.lit(0))
-        places = places.join(keys, "key", "left_semi").select(
-            id_col, "key", "pos", (F.col("pos") - left).cast("int").alias("before"), (F.size("words") - F.col("pos")).alias("after"), F.translate(F.array_join(F.slice("words", left + 1, F.lit(2 * reach + 1)), " "), UPPER, LOWER).alias("around")
-        )
+        around = F.translate(F.array_join(F.slice("words", left + 1, F.lit(2 * reach + 1)), " "), UPPER, LOWER)
+        places = places.select(id_col, "key", "pos", (F.col("pos") - left).cast("int").alias("before"), (F.size("words") - F.col("pos")).alias("after"), around.alias("around"))
         places = cut(places, "places")
         counts = places.groupBy("key").agg(F.count("*").alias("n"))
         rarest = parts.join(counts, "key").groupBy("phrase", "item_id", "size").agg(F.min_by(F.struct("key", "offset"), F.struct("n", "key", "offset")).alias("token"), F.count("*").alias("held"))
@@ -89,10 +93,10 @@ def contamination(docs: DataFrame, items: DataFrame, params: DecontaminationPara
     hits = window_hits(docs, items, params, id_col, text_col)
     spans = hits.groupBy(id_col).agg(F.collect_set(F.struct("start", "size")).alias("spans"), F.collect_set(F.col("item_id").cast("string")).alias("ids"))
     inside = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["size"] - 1))))
-    spans = spans.select(id_col, F.size(inside).cast("long").alias("hit"), F.array_sort("ids").alias("ids"))
+    spans = spans.select(F.col(id_col).alias("_own"), F.size(inside).cast("long").alias("hit"), F.array_sort("ids").alias("ids"))
     sizes = docs.select(id_col, F.size(_words(F.col(text_col))).cast("long").alias("n_words"))
     ids = F.coalesce("ids", F.array().cast("array<string>"))
     hit = F.coalesce("hit", F.lit(0).cast("long"))
-    return sizes.join(spans, id_col, "left").select(
+    return sizes.join(spans, F.col(id_col).eqNullSafe(F.col("_own")), "left").select(
         id_col, "n_words", hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated")
     )

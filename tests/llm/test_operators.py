@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lakeproof.llm.decontamination import contamination
+from lakeproof.llm.decontamination import DecontaminationParams, contamination
 from lakeproof.llm.html_text import extract_text, main_text
 from lakeproof.llm.license_scan import license_scan
 from lakeproof.llm.lm_scoring import LmParams, lm_scores
@@ -105,6 +105,10 @@ def test_contamination(spark, docs, nothing):
                     ids |= windows[k]
         digest = hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest()
         assert (got[i].n_words, got[i].n_hit, got[i].n_items, got[i].items_sha256, got[i].contaminated) == (len(w), len(hit), len(ids), digest, bool(hit)), i
+    # Without a broadcast the rows are the same, also those of a null id and of a row that stands twice.
+    more = docs.unionByName(docs.where("doc_id = 11")).unionByName(docs.where("doc_id = 11").withColumn("doc_id", F.lit(None).cast("long")))
+    joined = contamination(more, items, DecontaminationParams(broadcast_shingles=0)).collect()
+    assert len(joined) == len(TEXTS) + 2 and all(tuple(r)[1:] == tuple(got[11 if r.doc_id is None else r.doc_id])[1:] for r in joined)
     assert contamination(nothing, items).count() == 0
     assert not any(r.contaminated for r in contamination(docs, items.limit(0)).collect())
 
