@@ -46,16 +46,22 @@ def confirmed(pairs: DataFrame, vectors: DataFrame, key: str, vector: str, least
     return rows.select("a", "b", "distance", cosine.alias("cosine")).withColumn("passes", F.col("cosine") >= least).withColumn("duplicate", F.col("passes") & (F.col("distance") <= operative))
 
 
+def _held(df: DataFrame) -> DataFrame:
+    """``df`` computed once: written to the checkpoint folder, or cached in a session that has none."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
+
+
 def components(vertices: DataFrame, edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """``id, component`` (least id reachable) of every vertex, per value of ``by``: labels spread and jump to a fix point."""
     both = edges.select(*by, F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(*by, F.col("b").alias("u"), F.col("a").alias("v"))).distinct()
+    both = _held(both)  # every step reads the edges
     labels = vertices.select(*by, "id", F.col("id").alias("component"))
     while True:
         spread = both.join(labels.withColumnRenamed("id", "v"), [*by, "v"]).groupBy(*by, F.col("u").alias("id")).agg(F.min("component").alias("least"))
         near = labels.join(spread, [*by, "id"], "left").select(*by, "id", F.least("component", "least").alias("component"), F.col("component").alias("old"))
         jump = near.select(*by, F.col("id").alias("component"), F.col("component").alias("root"))
         new = near.join(jump, [*by, "component"], "left").select(*by, "id", F.coalesce("root", "component").alias("component"), "old")
-        new = new.checkpoint() if new.sparkSession.sparkContext.getCheckpointDir() else new.cache()
+        new = _held(new)
         labels, changed = new.drop("old"), new.where("component != old").head(1)
         if not changed:
             return labels
@@ -66,6 +72,7 @@ def sweep(vertices: DataFrame, edges: DataFrame, thresholds: list[int]) -> DataF
     spark = vertices.sparkSession
     t = spark.createDataFrame([(x,) for x in thresholds], "threshold int")
     linked = edges.join(F.broadcast(t), F.col("distance") <= F.col("threshold")).select("threshold", "a", "b")  # a short list
+    linked = _held(linked)
     every = vertices.crossJoin(F.broadcast(t))
     groups = components(every, linked, ("threshold",)).groupBy("threshold", "component").agg(F.count("*").alias("size"))
     out = groups.groupBy("threshold").agg(F.count("*").alias("groups"), F.count_if(F.col("size") > 1).alias("multi"), F.sum(F.when(F.col("size") > 1, F.col("size")).otherwise(0)).alias("in_multi"), F.max("size").alias("largest"))

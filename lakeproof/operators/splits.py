@@ -79,8 +79,25 @@ def distribution(split: DataFrame, label: str) -> DataFrame:
     return split.groupBy("split", label).agg(n.alias("n")).withColumn("fraction", F.round(F.col("n") / F.sum("n").over(W.partitionBy(label)), 4))
 
 
-def violations(split: DataFrame, rows: DataFrame, quarantine: DataFrame, key: str, label: str, group: str, digest: str, pairs: DataFrame | None = None, tolerance: float = 0.02) -> DataFrame:
-    """``rule, n``: rows that break each rule; a sound split has 0 everywhere (share rules count splits or classes)."""
+def crossing_pairs(split: DataFrame, rows: DataFrame, key: str, group: str) -> DataFrame:
+    """``n``: pairs of different keys of one group whose splits differ, counted from the sizes of groups without forming a pair.
+
+    ``split`` may hold a key several times, each time counts; a null group has no pairs."""
+    held = split.select(key, "split").join(rows.select(key, F.col(group).alias("_g")), key).where("_g is not null")
+    square = lambda c: F.col(c).cast("decimal(19,0)") * F.col(c).cast("decimal(19,0)")
+
+    def unlike(by: str) -> DataFrame:
+        sizes = held.groupBy(by, "split").agg(F.count("*").alias("k")).groupBy(by).agg(F.sum("k").alias("n"), F.sum(square("k")).alias("same"))
+        return sizes.agg(F.coalesce(F.sum(square("n") - F.col("same")), F.lit(0)).alias("n"))
+
+    each = unlike("_g").unionByName(unlike(key).select((-F.col("n")).alias("n")))
+    return each.agg((F.sum("n") / 2).cast("long").alias("n"))
+
+
+def violations(split: DataFrame, rows: DataFrame, quarantine: DataFrame, key: str, label: str, group: str, digest: str, pairs: DataFrame | None = None, every_pair: bool = False, tolerance: float = 0.02) -> DataFrame:
+    """``rule, n``: rows that break each rule; a sound split has 0 everywhere (share rules count splits or classes).
+
+    Rule ``pairs`` counts those of ``pairs`` that cross, or with ``every_pair`` all within groups."""
     one = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("rule"), "n")
     twice = lambda c: split.join(rows.select(key, F.col(digest).alias("_digest")), key).groupBy(c).agg(F.count_distinct("split").alias("s")).where("s > 1")
     every = split.select(key).unionByName(quarantine.select(key))
@@ -100,4 +117,6 @@ def violations(split: DataFrame, rows: DataFrame, quarantine: DataFrame, key: st
     if pairs is not None:
         side = lambda s: split.select(F.col(key).alias(s), F.col("split").alias(f"split_{s}"))
         out.append(one(pairs.join(side("a"), "a").join(side("b"), "b").where("split_a != split_b"), "pairs"))
+    elif every_pair:
+        out.append(crossing_pairs(split, rows, key, group).select(F.lit("pairs").alias("rule"), "n"))
     return reduce(DataFrame.unionByName, out)

@@ -153,11 +153,11 @@ def macro_auroc(scores: DataFrame) -> DataFrame:
     return scores.agg(F.count("auroc").alias("classes"), F.avg("auroc").alias("macro_auroc"))
 
 
-def rule_counts(split: DataFrame, rows: DataFrame, quarantine: DataFrame, pairs: DataFrame, key: str, label: str, group: str) -> DataFrame:
-    """The split rules, counted on any split, sound or not; see :func:`lakeproof.operators.splits.violations`."""
+def rule_counts(split: DataFrame, rows: DataFrame, quarantine: DataFrame, key: str, label: str, group: str) -> DataFrame:
+    """The split rules and all crossing pairs of groups, counted on any split, sound or not; see :func:`lakeproof.operators.splits.violations`."""
     from lakeproof.operators import splits
 
-    return splits.violations(split, rows, quarantine, key, label, group, group, pairs)
+    return splits.violations(split, rows, quarantine, key, label, group, group, every_pair=True)
 
 
 def confidence_changes(rows: DataFrame, by: tuple[str, ...], base: Column, bins: int = 15) -> DataFrame:

@@ -108,3 +108,14 @@ def test_without_training_data_operators(tmp_path):
     shutil.rmtree(tmp_path / "lakeproof/llm")
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); assert q and not any(x.startswith('op') and x[2].isdigit() for x in q); e.oracle_sql()"], cwd=tmp_path, capture_output=True, text=True)
     assert said.returncode == 0, said.stderr
+
+
+def test_crossing_pairs(spark):
+    """Pairs counted from sizes are those that forming them gives, also with keys that stand twice and null groups."""
+    rows = [(i, None if i % 7 == 0 else f"g{i % 4}") for i in range(40)]
+    split = [(i, ("train", "test", "validation")[i * i % 5 % 3]) for i in range(38)] + [(i, "test") for i in range(0, 38, 3)]
+    groups = dict(rows)
+    want = sum(groups[a] == groups[b] is not None and a != b and s != t for n, (a, s) in enumerate(split) for b, t in split[:n])
+    got = splits.crossing_pairs(spark.createDataFrame(split, "k long, split string"), spark.createDataFrame(rows, "k long, g string"), "k", "g")
+    assert got.first().n == want > 0
+    assert splits.crossing_pairs(spark.createDataFrame([], "k long, split string"), spark.createDataFrame(rows, "k long, g string"), "k", "g").first().n == 0
