@@ -87,8 +87,8 @@ def crossing_pairs(split: DataFrame, rows: DataFrame, key: str, group: str) -> D
     square = lambda c: F.col(c).cast("decimal(19,0)") * F.col(c).cast("decimal(19,0)")
 
     def unlike(by: str) -> DataFrame:
-        sizes = held.groupBy(by, "split").agg(F.count("*").alias("k")).groupBy(by).agg(F.sum("k").alias("n"), F.sum(square("k")).alias("same"))
-        return sizes.agg(F.coalesce(F.sum(square("n") - F.col("same")), F.lit(0)).alias("n"))
+        sizes = held.groupBy(by, "split").agg(F.count("*").alias("_k")).groupBy(by).agg(F.sum("_k").alias("_n"), F.sum(square("_k")).alias("_same"))
+        return sizes.agg(F.coalesce(F.sum(square("_n") - F.col("_same")), F.lit(0)).alias("n"))
 
     each = unlike("_g").unionByName(unlike(key).select((-F.col("n")).alias("n")))
     return each.agg((F.sum("n") / 2).cast("long").alias("n"))
