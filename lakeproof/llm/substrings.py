@@ -38,6 +38,10 @@ class SubstringParams:
     #: Words of distinct segments in a shard, about.
     shard_words: int = 1_000_000
 
+    def __post_init__(self) -> None:
+        if not 1 <= self.gram <= self.window <= 64:  # the index sorts by 64 symbols
+            raise ValueError("1 <= gram <= window <= 64 must hold")
+
 
 def _least(g: np.ndarray, n: int) -> np.ndarray:
     """The minimum of every ``n`` neighbours."""

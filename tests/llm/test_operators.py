@@ -170,6 +170,12 @@ def test_substrings(docs, nothing):
     assert {r.doc_id: r.n_removed for r in remove_repeats(docs, SubstringParams(shard_words=500)).collect()} == {i: r.n_removed for i, r in got.items()}
 
 
+def test_window_bounds():
+    for window, gram in ((65, 8), (7, 8), (10, 0)):
+        with pytest.raises(ValueError):
+            SubstringParams(window=window, gram=gram)
+
+
 def test_index():
     rng = np.random.default_rng(5)
     held = [rng.integers(0, 3, n).astype(np.uint32) for n in (12, 9, 30, 8)]
