@@ -101,7 +101,9 @@ def exemplars(rows: DataFrame, by: str, order: Column, key: str) -> DataFrame:
 
 
 def folder_paths(folders: DataFrame, key: str, parent: str, name: str, depth: int = 50) -> DataFrame:
-    """Joined names from the root to every folder; a folder in a cycle or under an unknown parent starts its own path."""
+    """Joined names from the root to every folder; a folder in a cycle or under an unknown parent starts its own path.
+
+    Folders deeper than ``depth`` steps are an error."""
     todo = folders.select(F.col(key).alias("id"), F.col(parent).alias("up"), F.col(name).cast("string").alias("path"), F.array(F.col(key)).alias("seen"))
     above = folders.select(F.col(key).alias("up"), F.col(parent).alias("_next"), F.col(name).cast("string").alias("_name"))
     for _ in range(depth):
@@ -111,6 +113,8 @@ def folder_paths(folders: DataFrame, key: str, parent: str, name: str, depth: in
         todo = todo.checkpoint() if todo.sparkSession.sparkContext.getCheckpointDir() else todo
         if not todo.where("up is not null").head(1):
             break
+    else:
+        raise ValueError(f"folders are nested deeper than {depth} steps, the depth given")
     return todo.select("id", "path")
 
 

@@ -7,6 +7,7 @@ import sys
 import zipfile
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from lakeproof.functions import scalars
@@ -119,3 +120,10 @@ def test_crossing_pairs(spark):
     got = splits.crossing_pairs(spark.createDataFrame(split, "k long, split string"), spark.createDataFrame(rows, "k long, g string"), "k", "g")
     assert got.first().n == want > 0
     assert splits.crossing_pairs(spark.createDataFrame([], "k long, split string"), spark.createDataFrame(rows, "k long, g string"), "k", "g").first().n == 0
+
+
+def test_deep_folders(spark):
+    chain = spark.createDataFrame([(i, i - 1 if i else None, f"f{i}") for i in range(5)], "id long, up long, name string")
+    assert {r.id: r.path for r in records.folder_paths(chain, "id", "up", "name").collect()}[4] == "f0/f1/f2/f3/f4"
+    with pytest.raises(ValueError):
+        records.folder_paths(chain, "id", "up", "name", depth=2)
