@@ -22,12 +22,16 @@ _SCOPE = [""]
 
 #: Rows of an Arrow batch of texts. Spark's own 10,000 hold tens of MB on either side of the pipe to Python, per core.
 ARROW_ROWS = 1_000
+#: Bytes of an Arrow batch, from which on it takes no further row: 1,000 long texts, or pairs of shingle sets, would be 64 MB.
+ARROW_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # nobody has chosen another size
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b") == str(64 << 20):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
