@@ -91,6 +91,20 @@ def dequantised(q: Column, scale: float, zero: int) -> Column:
     return F.transform(q, lambda x: (x - zero) * scale)
 
 
+def quantised(values: Column, scale: float, zero: int) -> Column:
+    """Signed bytes: rounded half to even, then clamped."""
+    return F.transform(values, lambda x: F.greatest(F.least(F.bround(x / scale) + zero, F.lit(127.0)), F.lit(-128.0)).cast("int"))
+
+
+def sums_to_one(values: Column, tolerance: float = 1e-2) -> Column:
+    return F.abs(F.aggregate(values, F.lit(0.0), lambda s, x: s + x) - 1) <= tolerance
+
+
+def guarded_probs(values: Column, tolerance: float = 1e-2) -> Column:
+    """The values, or their softmax where they do not sum to one."""
+    return F.when(sums_to_one(values, tolerance), values).otherwise(softmax(values))
+
+
 def hex_words(digest: Column, words: int = 4) -> Column:
     """A hex digest as 64-bit words."""
     return F.array(*[F.conv(F.substring(digest, 16 * i + 1, 16), 16, -10).cast("long") for i in range(words)])

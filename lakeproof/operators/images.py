@@ -74,6 +74,17 @@ def on_mask(cells: Column, mask: Column) -> dict[str, Column]:
     return {"mass_on_mask": share, "area": area, "concentration": F.when(area > 0, share / area), "peak_on_mask": peak}
 
 
+def touches_border(mask: Column, side: int) -> Column:
+    """Whether a square mask holds a cell of the outermost rows or columns."""
+    edge = lambda i: F.floor(i / side).isin(0, side - 1) | (i % side).isin(0, side - 1)
+    return F.exists(F.transform(mask, lambda m, i: m & edge(i)), lambda x: x)
+
+
+def mask_flagged(area: Column, border: Column, least: float = 0.02, most: float = 0.45) -> Column:
+    """Masks too small, too large or cut by the border, which say little about where a map's mass lies."""
+    return (area < least) | (area > most) | border
+
+
 def _shifted(a: np.ndarray, dy: int, dx: int) -> np.ndarray:
     return np.pad(a, ((abs(dy), abs(dy)), (abs(dx), abs(dx))), mode="edge")[abs(dy) - dy : abs(dy) - dy + a.shape[0], abs(dx) - dx : abs(dx) - dx + a.shape[1]]
 

@@ -620,4 +620,4 @@ def fieldlog_stream(spark, sf_dir):
     return _rounded(journal.run_to_table(rows, f"journal_{uuid.uuid4().hex}", f"{root}/state"))
 
 
-from lakeproof.plans import reports  # noqa: E402, F401  registers its queries here
+from lakeproof.plans import cells, reports  # noqa: E402, F401  register their queries here
