@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lakeproof.functions.scalars import hamming
@@ -67,6 +68,22 @@ def components(vertices: DataFrame, edges: DataFrame, by: tuple[str, ...] = ())
             return labels
 
 
+def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """``rows`` with their place from 1 in an order over all of them: ranges of the order are numbered apart, then moved by what lies before."""
+    ranged = _held(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    parts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = parts.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row per partition
+    placed = ranged.withColumn("_place", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
+    return placed.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_place")).drop("_part", "_before", "_place")
+
+
+def group_numbers(labels: DataFrame) -> DataFrame:
+    """``id, group_id, size`` of ``id, component``: groups of one too, the largest first, then by their least id."""
+    groups = labels.groupBy("component").agg(F.count("*").alias("size"))
+    named = numbered(groups, [F.desc("size"), F.col("component")], "_g").select("component", "size", F.format_string("G%05d", "_g").alias("group_id"))
+    return labels.join(named, "component").select("id", "group_id", "size")
+
+
 def sweep(vertices: DataFrame, edges: DataFrame, thresholds: list[int]) -> DataFrame:
     """Groups at every threshold: ``threshold, links, groups, multi, in_multi, largest``, components of all thresholds at once."""
     spark = vertices.sparkSession

@@ -273,7 +273,7 @@ def temperature_grid(spark, sf_dir):
     return _rounded(policy.temperature_nll(preds(spark, sf_dir), points=40))
 
 
-@query()
+@query(ORACLE["temperature_grid"].replace("range(40)", "range(400)").replace("/ 39)", "/ 399)"))
 def temperature_grid_full(spark, sf_dir):
     return _rounded(policy.temperature_nll(preds(spark, sf_dir), points=400))
 
@@ -298,7 +298,7 @@ def bootstrap_ci(spark, sf_dir):
     return _bootstrap_ci(spark, sf_dir, 20)
 
 
-@query()
+@query(ORACLE["bootstrap_ci"].replace("range(20)", "range(2000)"))
 def bootstrap_ci_full(spark, sf_dir):
     return _bootstrap_ci(spark, sf_dir, 2000)
 
@@ -315,7 +315,7 @@ def paired_bootstrap(spark, sf_dir):
     return _paired_bootstrap(spark, sf_dir, 20)
 
 
-@query()
+@query(ORACLE["paired_bootstrap"].replace("range(20)", "range(2000)"))
 def paired_bootstrap_full(spark, sf_dir):
     return _paired_bootstrap(spark, sf_dir, 2000)
 
@@ -552,7 +552,7 @@ def training_progress(spark, sf_dir):
     return _progress(spark, sf_dir).where("epoch <= 200")  # as its SQL; the whole runs are the next query
 
 
-@query()
+@query(ORACLE["training_progress"].replace(" WHERE epoch <= 200", ""))
 def training_progress_all(spark, sf_dir):
     return _progress(spark, sf_dir)
 

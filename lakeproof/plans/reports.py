@@ -259,3 +259,18 @@ m AS (SELECT vec_id, coalesce(sum(CASE WHEN inner_ THEN 0 ELSE v END) / nullif(s
 def peripheral_warnings(spark, sf_dir):
     mass = fn.peripheral_mass(F.transform("embedding", lambda x: x.cast("double")), 8, 2)
     return table(spark, sf_dir, "embeddings").select((mass > 0.75).alias("warned")).groupBy("warned").agg(F.count("*").alias("n"))
+
+
+@query(f"""{c._REACH}, k AS (SELECT id, min(other) AS component FROM r GROUP BY id), g AS (SELECT component, count(*) AS size FROM k GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY size DESC, component) AS g FROM g)
+SELECT id, 'G' || lpad(g::VARCHAR, 5, '0') AS group_id, size FROM k JOIN o USING (component)""")
+def duplicate_groups(spark, sf_dir):
+    return dedup.group_numbers(c.duplicate_components(spark, sf_dir))
+
+
+@query(f"""WITH {preds_sql()}, top8 AS (SELECT * FROM top WHERE y_true < 8), {c._PRF.format("8")} SELECT count(*) AS classes, round(avg(f1), 6) AS macro_all, round(avg(f1) FILTER (support > 0), 6) AS macro_present FROM prf8""")
+def macro_over_all(spark, sf_dir):
+    """Two classes are predicted only: the mean over all classes counts them as 0."""
+    cm = metrics.confusion(metrics.judged(preds(spark, sf_dir)).where("y_true < 8"))
+    every, present = (metrics.headline(cm, average=a).select(F.col("macro_f1").alias(n)) for a, n in (("all", "macro_all"), ("present", "macro_present")))
+    one_row = metrics.per_class(cm).agg(F.count("*").alias("classes"))
+    return rounded(one_row.crossJoin(F.broadcast(every)).crossJoin(F.broadcast(present)))  # one row each
