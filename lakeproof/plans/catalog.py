@@ -278,7 +278,19 @@ def temperature_grid_full(spark, sf_dir):
     return _rounded(policy.temperature_nll(preds(spark, sf_dir), points=400))
 
 
-@query()
+def _nested(name, grid):
+    """CTEs that pick the temperature of least NLL from a grid."""
+    return f"""l{name} AS (SELECT t, test_index, least(ln(sum(exp((z - m) / t))) - max(CASE WHEN c = y_true THEN (z - m) / t END), -ln(1e-12)) AS v FROM b, ({grid}) GROUP BY 1, 2),
+k{name} AS (SELECT arg_min(t, v) AS best FROM (SELECT t, avg(v) AS v FROM l{name} GROUP BY 1))"""
+
+
+_FINER = "SELECT exp(ln(best) + (s - 50) * {1}::DOUBLE * (ln(10.0) - ln(0.05)) / 399) AS t FROM k{0}, (SELECT unnest(range(101)) AS s)"
+
+
+@query(
+    f"""WITH {preds_sql()}, b AS (SELECT test_index, y_true, c, z, max(z) OVER (PARTITION BY test_index) AS m FROM (SELECT *, ln(greatest(least(p, 1), 1e-12)) AS z FROM p) q),
+{_nested(1, "SELECT exp(ln(0.05) + s * (ln(10.0) - ln(0.05)) / 399) AS t FROM (SELECT unnest(range(400)) AS s)")}, {_nested(2, _FINER.format(1, 0.02))}, {_nested(3, _FINER.format(2, 0.0004))} SELECT round(best, 4) AS temperature FROM k3"""
+)
 def temperature_fit(spark, sf_dir):
     return spark.createDataFrame([(round(policy.fit_temperature(preds(spark, sf_dir)), 4),)], "temperature double")
 
@@ -606,8 +618,8 @@ def segment_masks(spark, sf_dir):
     return images.segment(own, "vec_id").select("vec_id", F.round("area", 4).alias("area"), "touches_border")
 
 
-@query()
-def fieldlog_stream(spark, sf_dir):
+def _streamed(spark, sf_dir, of, mode="complete"):
+    """What a stream over the journal's lines has given when all of them are read."""
     import tempfile
     import uuid
 
@@ -616,8 +628,15 @@ def fieldlog_stream(spark, sf_dir):
     root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
     root = f"{root.rstrip('/')}/journal-{uuid.uuid4().hex}"
     journal_lines(spark, sf_dir).write.text(f"{root}/lines")
-    rows = journal.windowed(journal.journal_stream(spark, f"{root}/lines"))
-    return _rounded(journal.run_to_table(rows, f"journal_{uuid.uuid4().hex}", f"{root}/state"))
+    rows = of(journal.journal_stream(spark, f"{root}/lines"))
+    return _rounded(journal.run_to_table(rows, f"journal_{uuid.uuid4().hex}", f"{root}/state", mode))
+
+
+@query()
+def fieldlog_stream(spark, sf_dir):
+    from lakeproof.streaming import journal
+
+    return _streamed(spark, sf_dir, journal.windowed)
 
 
 from lakeproof.plans import cells, reports  # noqa: E402, F401  register their queries here

@@ -11,6 +11,7 @@ from lakeproof.functions import scalars as fn
 from lakeproof.operators import dedup, metrics, records, splits, summaries
 from lakeproof.plans import catalog as c
 from lakeproof.plans.fixtures import CLASSES, GAINS, RELEASES_SQL, SEEDS, journal_lines, preds, preds_sql, releases, table
+from lakeproof.streaming import journal
 
 query, rounded = c.query, c._rounded
 
@@ -274,3 +275,28 @@ def macro_over_all(spark, sf_dir):
     every, present = (metrics.headline(cm, average=a).select(F.col("macro_f1").alias(n)) for a, n in (("all", "macro_all"), ("present", "macro_present")))
     one_row = metrics.per_class(cm).agg(F.count("*").alias("classes"))
     return rounded(one_row.crossJoin(F.broadcast(every)).crossJoin(F.broadcast(present)))  # one row each
+
+
+_GOOD = "WITH g AS (SELECT * FROM events WHERE event_id % 50 NOT IN (0, 1, 2, 3))"
+
+
+@query(f"""{_GOOD} SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS device, count(*) AS n, count(*) FILTER (event_id % 4 = 0) AS n_abstained, round(avg(value), 6) AS latency_mean FROM g GROUP BY 1, 2""")
+def journal_windows(spark, sf_dir):
+    rows = c._streamed(spark, sf_dir, lambda r: journal.windowed(r.where("image.sha256 != '0'")))
+    return rows.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "device", "n", "n_abstained", "latency_mean")
+
+
+@query(
+    f"""{_GOOD}, s AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens, event_id FROM g),
+k AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM s) SELECT user_id::VARCHAR AS session_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, count(*) AS n FROM k GROUP BY user_id, k"""
+)
+def journal_sessions(spark, sf_dir):
+    rows = c._streamed(spark, sf_dir, lambda r: journal.sessions(r.where("image.sha256 != '0'")))
+    return rows.select("session_id", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("session_start"), "n")
+
+
+@query(f"""{_GOOD} SELECT event_id::VARCHAR AS record_id, ['correct', 'incorrect', 'unsure'][event_id % 3 + 1] AS verdict FROM g WHERE event_id % 7 = 0""")
+def journal_verdicts(spark, sf_dir):
+    """Records and their verdicts; those still waiting for one when the stream ends are not given."""
+    rows = c._streamed(spark, sf_dir, lambda r: journal.folded(r.where("record_type is not null or image.sha256 != '0'")), "append")
+    return rows.where("verdict is not null").select("record_id", "verdict")
