@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lakeproof.operators.dedup import numbered
+
 
 def manifest(files: DataFrame, path: str, content: str) -> DataFrame:
     """Path parts (first step = class, name, lower-case extension), size, SHA-256, aspect and sharpness-style banding of a content column."""
@@ -28,7 +30,7 @@ def manifest(files: DataFrame, path: str, content: str) -> DataFrame:
 def exact_clusters(rows: DataFrame, digest: str, label: str, member: str) -> DataFrame:
     """Members of digests that occur more than once, numbered in digest order, with their labels."""
     sizes = rows.where(F.col(digest).isNotNull() & (F.col(digest) != "")).groupBy(digest).agg(F.count("*").alias("group_size"), F.array_join(F.array_sort(F.collect_set(label)), "|").alias("labels"), F.count_distinct(label).alias("n_labels")).where("group_size > 1")
-    sizes = sizes.withColumn("cluster", F.row_number().over(W.orderBy(digest)))  # a row per duplicated digest
+    sizes = numbered(sizes, [F.col(digest)], "cluster")
     out = rows.select(digest, F.col(member), F.col(label)).join(sizes, digest)
     return out.select(F.format_string("EX%04d", "cluster").alias("cluster_id"), digest, member, label, "group_size", "labels", (F.col("n_labels") > 1).alias("cross_label"))
 
