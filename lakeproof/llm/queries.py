@@ -10,8 +10,11 @@ from lakeproof.llm.decontamination import contamination
 from lakeproof.llm.html_text import extract_text
 from lakeproof.llm.license_scan import license_scan
 from lakeproof.llm.lm_scoring import lm_scores
+from lakeproof.llm.merkle import dataset_manifest
 from lakeproof.llm.near_duplicates import near_duplicates
+from lakeproof.llm.periodic_runs import periodic_runs, planted
 from lakeproof.llm.quality_rules import quality_rules
+from lakeproof.llm.secret_scan import secret_scan
 from lakeproof.llm.sentence_pieces import encode_documents, read_model
 from lakeproof.llm.sharding import shard_documents
 from lakeproof.llm.substrings import remove_repeats
@@ -62,6 +65,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(planted(table(spark, sf_dir, "documents").select("doc_id", "text"))).drop("collapsed_text")
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataset_manifest(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -81,6 +96,9 @@ QUERIES = {
         op8_near_duplicates,
         op9_decontamination,
         op10_substring_dedup,
+        op11_periodic_runs,
+        op12_secret_scan,
+        op13_merkle_manifest,
         pipeline,
     )
 }

@@ -5,6 +5,10 @@ The others learn, propagate or search: tests hold them against brute-force versi
 SPACED = r"list_filter(regexp_split_to_array({0}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ALNUM = r"list_filter(regexp_split_to_array({0}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')".format(LOWER.format("coalesce(text, '')"))
+_FIELD = "coalesce(octet_length(encode({0}::VARCHAR)) || ':' || {0}::VARCHAR, '-')"
+_FIELDS = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+#: CRC-32 of a value's text, bit by bit.
+_CRC = "xor(list_reduce(list_transform(string_split({0}::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, 3988292384 * (a & 1))), 4294967295), 4294967295)"
 
 ORACLE: dict[str, str] = {
     "op8_near_duplicates": f"""WITH RECURSIVE w AS (SELECT doc_id, {SPACED.format(LOWER.format("coalesce(text, '')"))} AS ws FROM documents),
@@ -29,4 +33,19 @@ gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS spot FROM win WHERE
 words AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS spot, unnest(ws) AS word FROM d),
 kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY spot) AS kept FROM words WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.doc_id = words.doc_id AND gone.spot = words.spot) GROUP BY 1)
 SELECT doc_id, len(ws)::BIGINT AS n_words, len(ws)::BIGINT - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
+    # Levels bottom up for every source, then over the sources; each leaf's steps, joined for the proof and folded for the root.
+    "op13_merkle_manifest": rf"""WITH RECURSIVE x AS (SELECT *, CASE WHEN {_CRC.format("doc_id")} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS held_text FROM documents),
+h AS (SELECT doc_id, source, sha256({_FIELDS} || {_FIELD.format("text")}) AS leaf, sha256({_FIELDS} || {_FIELD.format("held_text")}) AS held FROM x),
+k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS s FROM h),
+t AS (SELECT s, 0::BIGINT AS l, i, n, leaf AS d FROM k UNION ALL SELECT s, l + 1, i // 3, (n + 2) // 3, sha256(string_agg(d, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY s, l, i // 3, n),
+sub AS (SELECT s, l AS depth, d AS subroot, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT -1::BIGINT AS s, 0::BIGINT AS l, s AS i, n, subroot AS d FROM sub UNION ALL SELECT s, l + 1, i // 3, (n + 2) // 3, sha256(string_agg(d, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY s, l, i // 3, n),
+root AS (SELECT l AS height, d AS root FROM u WHERE n = 1),
+nodes AS (SELECT s, l, i, d FROM t WHERE n > 1 UNION ALL SELECT s, l, i, d FROM u WHERE n > 1),
+c AS (SELECT s, i, s AS tree, i AS spot, unnest(range(depth)) AS l, 0 AS above FROM k JOIN sub USING (s) UNION ALL SELECT s, i, -1, s, unnest(range(height)), depth FROM k JOIN sub USING (s), root),
+p AS (SELECT c.s, c.i, c.l + above AS place, coalesce(string_agg(d, '' ORDER BY nodes.i) FILTER (nodes.i < spot // pow(3, c.l)::BIGINT), '') AS a, coalesce(string_agg(d, '' ORDER BY nodes.i) FILTER (nodes.i > spot // pow(3, c.l)::BIGINT), '') AS b
+FROM c JOIN nodes ON nodes.s = tree AND nodes.l = c.l AND nodes.i // 3 = spot // pow(3, c.l + 1)::BIGINT GROUP BY c.s, c.i, c.l, above),
+g AS (SELECT s, i, 0::BIGINT AS place, held AS h FROM k UNION ALL SELECT g.s, g.i, g.place + 1, sha256(a || h || b) FROM g JOIN p ON p.s = g.s AND p.i = g.i AND p.place = g.place),
+q AS (SELECT s, i, string_agg(a || b, '' ORDER BY place) AS proof FROM p GROUP BY 1, 2)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, h AS folded_root, h = root AS verified FROM k JOIN sub USING (s) JOIN g ON g.s = k.s AND g.i = k.i AND g.place = depth + (SELECT height FROM root) LEFT JOIN q ON q.s = k.s AND q.i = k.i, root""",
 }
