@@ -60,9 +60,9 @@ class SecretParams:
     #: Characters of a candidate at least.
     least: int = 20
     #: Chance that a random token fails the battery.
-    alpha: float = 0.01
+    alpha: float = 0.001
     #: Share of words among the tokens reported, at most, as expected.
-    rate: float = 0.01
+    rate: float = 0.05
     #: Bins of the histogram of p-values, 16 to a factor of ten.
     bins: int = 512
 
