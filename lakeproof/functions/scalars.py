@@ -35,17 +35,21 @@ def argmax(probs: Column) -> Column:
     return (F.array_position(probs, F.array_max(probs)) - 1).cast("int")
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once a row, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalised(values: Column) -> Column:
-    total = F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
-    return F.transform(values, lambda x: x / total)
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
+    return bound(values, lambda v: bound(total(v), lambda t: F.transform(v, lambda x: x / t)))
 
 
 def softmax(logits: Column, temperature: Column | float = 1.0) -> Column:
     """Max-shifted softmax of logits over a temperature; a temperature of 0 or less changes nothing."""
     t = F.lit(temperature) if isinstance(temperature, (int, float)) else temperature
     scale = F.when(t <= 0, F.lit(1.0)).otherwise(t)
-    top = F.array_max(logits)
-    return normalised(F.transform(logits, lambda z: F.exp((z - top) / scale)))
+    return bound(logits, lambda v: bound(F.array_max(v), lambda top: normalised(F.transform(v, lambda z: F.exp((z - top) / scale)))))
 
 
 def logits_of(probs: Column) -> Column:

@@ -15,6 +15,12 @@ def paired(rows: DataFrame, name: str = "model", by: tuple[str, ...] = ("seed",
     return side("a").join(side("b"), list(by)).where("model_a < model_b")
 
 
+def paired_outcomes(rows: DataFrame, outcomes: str = "outcomes") -> DataFrame:
+    """As :func:`paired`, of rows that hold their outcomes as an array of ``model, seed, correct``: no join, a row per pair of models and seed."""
+    other = lambda x: F.transform(F.filter(outcomes, lambda y: (y["seed"] == x["seed"]) & (y["model"] > x["model"])), lambda y: F.struct(x["seed"].alias("seed"), x["model"].alias("model_a"), y["model"].alias("model_b"), x["correct"].alias("correct_a"), y["correct"].alias("correct_b")))
+    return rows.select(F.explode(F.flatten(F.transform(outcomes, other))).alias("pair")).select("pair.*")
+
+
 def binomial_two_sided(b: Column, c: Column) -> Column:
     """Exact two-sided sign test: min(1, 2 P(X <= min(b, c))) for b + c fair draws; 1 without draws."""
     n, k = (b + c).cast("int"), F.least(b, c).cast("int")

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeproof.functions import scalars as fn
 from lakeproof.operators import compare, dedup, fieldlog, images, metrics, policy, records, selection, splits
-from lakeproof.plans.fixtures import CLASSES, GAINS, RELEASES_SQL, SEEDS, journal_images, journal_lines, preds, preds_sql, releases, table
+from lakeproof.plans.fixtures import CLASSES, GAINS, RELEASES_SQL, SEEDS, journal_images, journal_lines, many_preds, preds, preds_sql, releases, table
 from lakeproof.sources import files
 
 QUERIES: dict = {}
@@ -342,8 +340,8 @@ def _paired_bootstrap(spark, sf_dir, draws):
 
 
 def _models(spark, sf_dir):
-    parts = [_top(spark, sf_dir, g, s).select(F.lit(m).alias("model"), F.lit(s).alias("seed"), "test_index", "y_true", "y_pred", "conf", "correct") for m, g in GAINS.items() for s in SEEDS]
-    return reduce(DataFrame.unionByName, parts)
+    rows = many_preds(spark, sf_dir, [((m, s), g, s) for m, g in GAINS.items() for s in SEEDS], ("model", "seed"))
+    return metrics.judged(rows)
 
 
 _MODELS = ",\n".join(preds_sql(g, s, f"_{m}_{s}") for m, g in GAINS.items() for s in SEEDS) + ",\nm AS (" + " UNION ALL ".join(f"SELECT '{m}' AS model, {s} AS seed, * FROM top_{m}_{s}" for m in GAINS for s in SEEDS) + ")"
@@ -363,7 +361,8 @@ SELECT model_a, model_b, seed, b, c, both_right, both_wrong, round(p_value, 6)::
 WINDOW w AS (ORDER BY p_value, model_a, model_b, seed ROWS UNBOUNDED PRECEDING)"""
 )
 def mcnemar_holm(spark, sf_dir):
-    tests = compare.mcnemar(compare.paired(_models(spark, sf_dir)))
+    outcomes = _models(spark, sf_dir).groupBy("test_index").agg(F.collect_list(F.struct("model", "seed", "correct")).alias("outcomes"))  # one of each run
+    tests = compare.mcnemar(compare.paired_outcomes(outcomes))
     return _rounded(compare.holm(tests, order=("model_a", "model_b", "seed")))
 
 
@@ -417,9 +416,12 @@ def material_degradation(spark, sf_dir):
 _CONDITIONS = [("clean", 0, 2.0), *((c, s, g) for c, g0 in (("blur", 1.6), ("noise", 1.8)) for s, g in ((1, g0), (2, g0 - 0.4), (3, g0 - 0.8)))]
 
 
+def _judged_conditions(spark, sf_dir):
+    return metrics.judged(many_preds(spark, sf_dir, [((c, s), g, 42) for c, s, g in _CONDITIONS], ("condition", "severity")))
+
+
 def _conditions(spark, sf_dir):
-    parts = [_top(spark, sf_dir, g).agg(F.avg("correct").alias("accuracy"), F.avg("conf").alias("confidence")).select(F.lit(c).alias("condition"), F.lit(s).alias("severity"), "accuracy", "confidence") for c, s, g in _CONDITIONS]
-    return reduce(DataFrame.unionByName, parts)
+    return _judged_conditions(spark, sf_dir).groupBy("condition", "severity").agg(F.avg("correct").alias("accuracy"), F.avg("conf").alias("confidence"))
 
 
 _COND_SQL = ",\n".join(preds_sql(round(g, 2), 42, f"_{c}{s}") for c, s, g in _CONDITIONS) + ",\ncn AS (" + " UNION ALL ".join(f"SELECT '{c}' AS condition, {s} AS severity, avg(correct) AS accuracy, avg(conf) AS confidence FROM top_{c}{s}" for c, s, _ in _CONDITIONS) + ")"

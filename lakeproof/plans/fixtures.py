@@ -4,7 +4,7 @@ Each has a DuckDB text beside it, which computes the same from the same numbers
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeproof.functions.scalars import softmax, unit_number
@@ -20,11 +20,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _probs(gain: float, seed: int) -> Column:
+    logit = lambda c: F.lit(gain) * (F.col("y_true") == c).cast("double") + 4.0 * unit_number(F.concat_ws(":", F.col("test_index").cast("string"), F.lit(str(c)), F.lit(str(seed))))
+    return softmax(F.array(*[logit(c) for c in range(CLASSES)]))
+
+
+def _tested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("test_index"), F.col("label").alias("y_true"))
+
+
 def preds(spark: SparkSession, sf_dir: str, gain: float = 1.6, seed: int = 42) -> DataFrame:
     """``test_index, y_true, probs``."""
-    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("test_index"), F.col("label").alias("y_true"))
-    logit = lambda c: F.lit(gain) * (F.col("y_true") == c).cast("double") + 4.0 * unit_number(F.concat_ws(":", F.col("test_index").cast("string"), F.lit(str(c)), F.lit(str(seed))))
-    return rows.select("test_index", "y_true", softmax(F.array(*[logit(c) for c in range(CLASSES)])).alias("probs"))
+    return _tested(spark, sf_dir).select("test_index", "y_true", _probs(gain, seed).alias("probs"))
+
+
+def many_preds(spark: SparkSession, sf_dir: str, runs: list[tuple[tuple, float, int]], names: tuple[str, ...]) -> DataFrame:
+    """``test_index, y_true, probs`` of many runs (values of ``names``, gain, seed) from one scan of the table."""
+    each = [F.struct(*[F.lit(v).alias(c) for c, v in zip(names, values)], _probs(gain, seed).alias("probs")) for values, gain, seed in runs]
+    rows = _tested(spark, sf_dir).select("test_index", "y_true", F.explode(F.array(*each)).alias("run"))
+    return rows.select("test_index", "y_true", *[F.col(f"run.{c}").alias(c) for c in (*names, "probs")])
 
 
 def preds_sql(gain: float = 1.6, seed: int = 42, name: str = "") -> str:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,11 +14,7 @@ from lakeproof.streaming import journal
 query, rounded = c.query, c._rounded
 
 
-def _models(spark, sf_dir):
-    parts = [metrics.judged(preds(spark, sf_dir, g, s)).withColumns({"model": F.lit(m), "seed": F.lit(s)}) for m, g in GAINS.items() for s in SEEDS]
-    return reduce(DataFrame.unionByName, parts)
-
-
+_models, _judged_conditions = c._models, c._judged_conditions
 _ALL = c._MODELS + ",\npm AS (" + " UNION ALL ".join(f"SELECT '{m}' AS model, {s} AS seed, * FROM p_{m}_{s}" for m in GAINS for s in SEEDS) + ")"
 _PER = """pc AS (SELECT model, seed, c, count(*) FILTER (y_true = c) AS s, count(*) FILTER (y_true = c AND y_pred = c) AS tp, count(*) FILTER (y_pred = c) AS pr FROM m, (SELECT unnest(range(10)) AS c) GROUP BY 1, 2, 3),
 pq AS (SELECT *, coalesce(tp / nullif(pr, 0)::DOUBLE, 0) AS prec, coalesce(tp / nullif(s, 0)::DOUBLE, 0) AS rec, coalesce(2 * tp / nullif(s + pr, 0)::DOUBLE, 0) AS f1 FROM pc WHERE s + pr > 0),
@@ -51,11 +45,6 @@ def subset_summaries(spark, sf_dir):
 _POLICY = ",\n".join(preds_sql(round(g, 2), 42, f"_{n}{s}") for n, s, g in c._CONDITIONS) + ",\nx AS (" + " UNION ALL ".join(f"SELECT '{n}' AS condition, {s} AS severity, * FROM top_{n}{s}" for n, s, _ in c._CONDITIONS) + ")"
 
 
-def _judged_conditions(spark, sf_dir):
-    parts = [metrics.judged(preds(spark, sf_dir, g)).withColumns({"condition": F.lit(n), "severity": F.lit(s)}) for n, s, g in c._CONDITIONS]
-    return reduce(DataFrame.unionByName, parts)
-
-
 @query(
     f"""WITH {_POLICY}, g AS (SELECT condition || severity AS name, avg((conf >= 0.3)::INT) AS coverage, avg(1 - correct) FILTER (conf >= 0.3) AS risk FROM x GROUP BY 1)
 SELECT 'risk' AS rule, count(*) AS n, count(*) FILTER (risk > 0.4) AS violations, coalesce(string_agg(CASE WHEN risk > 0.4 THEN name END, ',' ORDER BY name), '') AS names FROM g
