@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from lakeproof.llm import words as wd
 from lakeproof.llm.graph import components
 from lakeproof.llm.tables import cut, slices
+from lakeproof.llm.workers import serving
 
 
 @dataclass(frozen=True)
@@ -115,7 +116,7 @@ class _Links:
         pairs = pairs.where(shared >= F.floor(floor * F.size(union))).select("a", "b")
         held = lambda s: self.sets.select(F.col("id").alias(s), F.col("held").alias(f"h_{s}"))
         kind = self.classes.schema["rep"].dataType.simpleString()
-        found = pairs.join(held("a"), "a").join(held("b"), "b").select("a", "b", "h_a", "h_b").mapInArrow(_confirm(self.params.percent), f"a {kind}, b {kind}")
+        found = pairs.join(held("a"), "a").join(held("b"), "b").select("a", "b", "h_a", "h_b").mapInArrow(serving("near", _confirm(self.params.percent)), f"a {kind}, b {kind}")
         self.links = cut(found if self.links is None else found.unionByName(self.links), "links")
         self.groups = cut(components(self.links), "groups")
 
@@ -160,7 +161,7 @@ def _shared_marks(sets: DataFrame, rows: DataFrame, words: int) -> DataFrame:
     held = sets.join(rows.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", F.explode("held").alias("shingle"))
     common = held.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
     own = held.join(common, "shingle", "left_semi").groupBy(F.col("id").alias("rep")).agg(F.collect_list("shingle").alias("held"))
-    return own.mapInArrow(_marks(words), f"rep {sets.schema['id'].dataType.simpleString()}, most long, marks array<long>")
+    return own.mapInArrow(serving("near", _marks(words)), f"rep {sets.schema['id'].dataType.simpleString()}, most long, marks array<long>")
 
 
 def near_duplicates(docs: DataFrame, params: NearDuplicateParams = NearDuplicateParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -168,14 +169,14 @@ def near_duplicates(docs: DataFrame, params: NearDuplicateParams = NearDuplicate
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    sketches = cut(texts.mapInArrow(_sketcher(params.shingle, params.k), f"id {kind}, n long, key binary, sketch array<long>"), "sketches")
+    sketches = cut(texts.mapInArrow(serving("near", _sketcher(params.shingle, params.k)), f"id {kind}, n long, key binary, sketch array<long>"), "sketches")
     classes = cut(sketches.where("n > 0").groupBy("key", "n").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch")), "classes")
     lists = cut(_listed(classes, params), "lists")
     several = lists.groupBy("value").agg(F.count("*").alias("members")).where("members > 1")
     lists = cut(lists.join(several, "value"), "lists-of-two")
     ids = lists.select(F.col("rep").alias("id")).distinct()
     ids = F.broadcast(ids) if ids.count() <= params.broadcast_ids else ids
-    sets = cut(texts.join(ids, "id", "left_semi").mapInArrow(_full(params.shingle), f"id {kind}, held array<long>"), "sets")
+    sets = cut(texts.join(ids, "id", "left_semi").mapInArrow(serving("near", _full(params.shingle)), f"id {kind}, held array<long>"), "sets")
 
     links = _Links(classes.select("rep", "n", "sketch"), sets, params)
     # The two most central members of every list against all of it.

@@ -28,6 +28,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lakeproof.llm.workers import kept, serving
+
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -294,6 +296,9 @@ def _loaded(data: bytes) -> PieceModel:
     return PieceModel.parse(data)
 
 
+kept(_loaded.cache_clear)
+
+
 def read_model(path: str) -> bytes:
     """A model file's bytes (half a megabyte for 32,000 pieces), to be sent along with the tasks."""
     with open(path, "rb") as f:
@@ -333,10 +338,10 @@ def _schema(df: DataFrame, names: list[str]) -> str:
 def encode_documents(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:
     """The other columns with ``n_tokens, ids, ids_sha256`` (of little-endian 32-bit ids) and ``round_trip``."""
     rest = [c for c in docs.columns if c not in (text_col, "n_tokens", "ids", "ids_sha256", "round_trip")]
-    return docs.select(*rest, text_col).mapInArrow(_encoder(model, len(rest)), f"{_schema(docs, rest)}n_tokens long, ids array<int>, ids_sha256 string, round_trip boolean")
+    return docs.select(*rest, text_col).mapInArrow(serving("pieces", _encoder(model, len(rest))), f"{_schema(docs, rest)}n_tokens long, ids array<int>, ids_sha256 string, round_trip boolean")
 
 
 def decode_documents(rows: DataFrame, model: bytes, ids_col: str = "ids") -> DataFrame:
     """The other columns with ``text``."""
     rest = [c for c in rows.columns if c not in (ids_col, "text")]
-    return rows.select(*rest, ids_col).mapInArrow(_decoder(model, len(rest)), f"{_schema(rows, rest)}text string")
+    return rows.select(*rest, ids_col).mapInArrow(serving("pieces", _decoder(model, len(rest))), f"{_schema(rows, rest)}text string")

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from lakeproof.llm import words as wd
 from lakeproof.llm.tables import cut, free_name, slices
+from lakeproof.llm.workers import serving
 
 
 @dataclass(frozen=True)
@@ -222,16 +223,16 @@ def repeated_ranges(docs: DataFrame, params: SubstringParams = SubstringParams()
     """``id, ranges``: word ranges ``[a, b)`` of the repeated windows of each document that has any."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    runs = cut(texts.mapInArrow(_segmenter(params), f"m long, id {kind}, start int, n int, places int"), "runs")
+    runs = cut(texts.mapInArrow(serving("substrings", _segmenter(params)), f"m long, id {kind}, start int, n int, places int"), "runs")
     several = runs.groupBy("m").agg(F.sum("places").alias("places")).where("places > 1")
     wanted = runs.join(several, "m", "left_semi").groupBy("id").agg(F.collect_list(F.struct("m", "start", "n")).alias("runs"))
-    pieces = texts.join(wanted, "id").select("id", "text", "runs").mapInArrow(_cutter(params), f"m long, id {kind}, start int, n int, held binary")
+    pieces = texts.join(wanted, "id").select("id", "text", "runs").mapInArrow(serving("substrings", _cutter(params)), f"m long, id {kind}, start int, n int, held binary")
     pieces = cut(pieces.withColumn("h", F.xxhash64("held")), "pieces")
     # A segment of repeating words is searched like any other and also counts as often as it stands.
     distinct = cut(pieces.groupBy("m", "h").agg(F.first("held").alias("held"), F.count("*").alias("places")), "distinct")
     words = distinct.agg(F.sum(F.octet_length("held"))).first()[0] or 0
     shards = max(1, -(-words // (4 * params.shard_words)))
-    found = distinct.select("m", "h", "held", "places").repartition(shards, "m").mapInArrow(_searcher(params), "m long, h long, ranges array<struct<a:int,b:int>>")
+    found = distinct.select("m", "h", "held", "places").repartition(shards, "m").mapInArrow(serving("substrings", _searcher(params)), "m long, h long, ranges array<struct<a:int,b:int>>")
     hits = pieces.select("m", "h", "id", "start").join(cut(found, "found"), ["m", "h"])
     moved = F.transform("ranges", lambda r: F.struct((r["a"] + F.col("start")).alias("a"), (r["b"] + F.col("start")).alias("b")))
     return hits.select("id", moved.alias("ranges")).groupBy("id").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
@@ -263,8 +264,10 @@ def kept_words(text: Column, ranges: Column) -> Column:
                     digests.append(hashlib.sha256(kept[-1]).hexdigest())
             yield pa.StructArray.from_arrays([pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(digests, pa.string())], fields=list(_KEPT))
 
-    run.__annotations__ = {"columns": Iterator[tuple[pa.Array, ...]], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "n_words long, n_removed long, kept_text string, kept_sha256 string")(text, ranges)
+    task = serving("substrings", run)
+    task.__annotations__ = {"batches": Iterator[tuple[pa.Array, ...]], "return": Iterator[pa.Array]}
+    # Called non-deterministic so that a filter on what it gives doesn't run it a second time.
+    return F.arrow_udf(task, "n_words long, n_removed long, kept_text string, kept_sha256 string").asNondeterministic()(text, ranges)
 
 
 def remove_repeats(docs: DataFrame, params: SubstringParams = SubstringParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

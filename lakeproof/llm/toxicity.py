@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeproof.llm.tables import cut, held_out, slices
+from lakeproof.llm.workers import kept, serving
 
 # Seed words of the classes, in lower case.
 INSULTS = "idiot moron stupid loser scum dumm idiota imbécile estúpido".split()
@@ -190,6 +191,9 @@ def composed(reach: int = 4) -> Transducer:
     return out
 
 
+kept(composed.cache_clear)
+
+
 @dataclass(frozen=True)
 class ToxicityParams:
     #: Labelled rows to learn from, about, at most.
@@ -353,7 +357,7 @@ def fit(rows: DataFrame, params: ToxicityParams = ToxicityParams(), text_col: st
     n, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not 0 < toxic < n:
         return seeded(reach=params.reach)
-    sums = rows.mapInArrow(_entries, "stem boolean, entry string, clean long, toxic long").groupBy("stem", "entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    sums = rows.mapInArrow(serving("toxicity", _entries), "stem boolean, entry string, clean long, toxic long").groupBy("stem", "entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     sums = cut(sums, "entries")
     candidates = sums.where(F.col("toxic") > 0).count()
     total = F.col("toxic") + F.col("clean")
@@ -369,7 +373,7 @@ def fit(rows: DataFrame, params: ToxicityParams = ToxicityParams(), text_col: st
     grammar = seeded(*held, reach=params.reach)
     for word in dropped:  # a seed that the labels don't bear out
         grammar.words.pop(word, None)
-    data = rows.mapInArrow(_featured(grammar), "x array<double>, y int").toArrow()  # at most about ``sample`` short rows
+    data = rows.mapInArrow(serving("toxicity", _featured(grammar)), "x array<double>, y int").toArrow()  # at most about ``sample`` short rows
     y = data.column("y").to_numpy().astype(float)
     x = np.column_stack([np.ones(len(y)), np.array(data.column("x").to_pylist())])
     prior = np.concatenate([[PRIOR_BIAS], PRIOR])
@@ -395,8 +399,9 @@ def _scorer(grammar: Grammar):
         for own in texts:
             yield pa.array([grammar.score(t or "") for part in slices(own) for t in part.to_pylist()], pa.float64())
 
-    run.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "double")
+    task = serving("toxicity", run)
+    task.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(task, "double")
 
 
 def toxic_score(grammar: Grammar, text: Column | str = "text") -> Column:

@@ -12,6 +12,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
+from lakeproof.llm.workers import kept
+
 #: Bytes that part words.
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -46,6 +48,9 @@ def _powers(base: int, n: int) -> np.ndarray:
     return have
 
 
+kept(_POWERS.clear)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words whose every output bit depends on every input bit."""
     with np.errstate(over="ignore"):
