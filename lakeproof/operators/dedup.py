@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import itertools
+import math
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,23 +23,92 @@ def sign_hash(vectors: DataFrame, key: str, vector: str, bits: int = 64) -> Data
     return vectors.select(F.col(key).alias("id"), F.array(*words).alias("words"))
 
 
-def hamming_pairs(hashes: DataFrame, threshold: int, bits: int = 64) -> DataFrame:
-    """``a < b, distance``: all pairs within ``threshold`` bits.
-
-    Of ``threshold + 1`` blocks of bits, two such hashes agree in one at least, so pairs come from an equality
-    join on (block, bits). A block of k bits lets 1 in 2^k pairs through: choose hashes of many bits a threshold step."""
-    blocks = threshold + 1
-    edges = [bits * i // blocks for i in range(blocks + 1)]
-
-    def part(a: int, b: int):
-        """Bits a to b, split where a word ends."""
-        cuts = [a, *range((a // 64 + 1) * 64, b, 64), b]
-        return F.array(*[F.call_function("shiftrightunsigned", F.col("words")[x // 64], F.lit(x % 64)).bitwiseAND((1 << (y - x)) - 1 if y - x < 64 else -1) for x, y in zip(cuts, cuts[1:])])
-
-    keys = [F.struct(F.lit(i).alias("i"), part(a, b).alias("v")) for i, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
-    rows = hashes.select("id", "words", F.explode(F.array(*keys)).alias("key"))
-    side = lambda s: rows.select("key", F.col("id").alias(s), F.col("words").alias(f"w_{s}"))
-    near = side("a").join(side("b"), "key").where(F.col("a") < F.col("b"))
+#: Rows of a block of the block-wise comparison, at most about.
+BLOCK_ROWS = 4_096
+#: Rough costs of one comparison of a 64-bit word within a block, one probe of a chunk table and one candidate, in microseconds.
+_COSTS = (0.004, 1.0, 1.5)
+
+
+def chunk_plan(bits: int, threshold: int, chunks: int) -> list[tuple[int, int, int]]:
+    """``first bit, width, radius`` of each chunk. Of two hashes within ``threshold`` bits one chunk at least differs in its radius or
+    fewer: the radii plus one each sum to ``threshold + 1``. Chunks whose radius would be negative are left out."""
+    edges = [bits * i // chunks for i in range(chunks + 1)]
+    whole, more = divmod(threshold + 1, chunks)
+    return [(a, b - a, whole - 1 + (i < more)) for i, (a, b) in enumerate(zip(edges, edges[1:])) if b > a and whole - 1 + (i < more) >= 0]
+
+
+def best_chunks(n: int, bits: int, threshold: int) -> int:
+    """How many chunk tables compare ``n`` random hashes at the least cost; 0 where comparing blocks of rows costs less."""
+    best, cost = 0, n * n / 2 * (bits / 64) * _COSTS[0]
+    for chunks in range(1, min(bits, 2 * threshold + 2) + 1):
+        plan = chunk_plan(bits, threshold, chunks)
+        if max(w for _, w, _ in plan) > 62:
+            continue
+        probes = [sum(math.comb(w, k) for k in range(r + 1)) for _, w, r in plan]
+        if max(probes) <= 100_000:  # the masks are broadcast
+            own = n * sum(probes) * _COSTS[1] + n * n / 2 * sum(p / 2.0**w for p, (_, w, _) in zip(probes, plan)) * _COSTS[2]
+            best, cost = (chunks, own) if own < cost else (best, cost)
+    return best
+
+
+def chunk_candidates(hashes: DataFrame, threshold: int, bits: int, chunks: int) -> DataFrame:
+    """``a < b`` with their words, some pairs several times: pairs that agree in a chunk up to its radius.
+
+    One table per chunk (all in one, keyed by chunk and value), which every row probes with its own value under all masks of the radius."""
+    plan = chunk_plan(bits, threshold, chunks)
+
+    def value(a: int, width: int) -> Column:
+        low = F.shiftrightunsigned(F.get("words", F.lit(a // 64)), 64 - (a % 64) - width) if a % 64 + width <= 64 else None
+        if low is None:  # the chunk spans two words
+            left = 64 - a % 64
+            low = F.shiftleft(F.get("words", F.lit(a // 64)), width - left).bitwiseOR(F.shiftrightunsigned(F.get("words", F.lit(a // 64 + 1)), 64 - (width - left)))
+        return low.bitwiseAND((1 << width) - 1)
+
+    values = F.array(*[F.struct(F.lit(i).alias("chunk"), value(a, w).alias("value")) for i, (a, w, _) in enumerate(plan)])
+    rows = hashes.select("id", "words", F.explode(values).alias("x")).select("id", "words", "x.chunk", "x.value")
+    masks = [(i, sum(1 << bit for bit in at)) for i, (_, w, r) in enumerate(plan) for k in range(r + 1) for at in itertools.combinations(range(w), k)]
+    masks = hashes.sparkSession.createDataFrame(masks, "chunk int, mask long")
+    probes = rows.select(F.col("id").alias("b"), F.col("words").alias("w_b"), "chunk", F.col("value").alias("own")).join(F.broadcast(masks), "chunk").withColumn("value", F.col("own").bitwiseXOR(F.col("mask")))
+    return rows.select(F.col("id").alias("a"), F.col("words").alias("w_a"), "chunk", "value").join(probes, ["chunk", "value"]).where("a < b").select("a", "b", "w_a", "w_b")
+
+
+def _block_pairs(hashes: DataFrame, threshold: int, blocks: int) -> DataFrame:
+    """Pairs within ``threshold``: rows are dealt to blocks, and a task compares two blocks, word by word, as arrays."""
+    kind = hashes.schema["id"].dataType.simpleString()
+
+    def run(batch: pa.Table) -> pa.Table:
+        block, low, high = (batch.column(c).to_numpy() for c in ("block", "low", "high"))
+        words = np.array(batch.column("words").to_pylist(), np.int64).reshape(len(block), -1).view(np.uint64)
+        ids, one, two = batch.column("id"), np.flatnonzero(block == low), np.flatnonzero(block == high)
+        found = []
+        for part in np.array_split(one, max(1, len(one) * len(two) // 1_000_000)):
+            d = np.zeros((len(part), len(two)), np.int32)
+            for w in range(words.shape[1]):
+                d += np.bitwise_count(words[part, w][:, None] ^ words[two, w][None, :])
+            i, j = np.nonzero(d <= threshold)
+            own = (part[i] < two[j]) if low[0] == high[0] else np.ones(len(i), bool)
+            found.append((part[i][own], two[j][own], d[i, j][own]))
+        a, b, d = (np.concatenate(x) for x in zip(*found))
+        return pa.table({"a": ids.take(pa.array(a)), "b": ids.take(pa.array(b)), "distance": pa.array(d.astype(np.int32))})
+
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    pair = F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda j: F.struct(F.least(j, F.col("block")).alias("low"), F.greatest(j, F.col("block")).alias("high"))))
+    rows = hashes.select("id", "words", block.alias("block")).withColumn("pair", pair).select("id", "words", "block", "pair.low", "pair.high")
+    found = rows.groupBy("low", "high").applyInArrow(run, f"a {kind}, b {kind}, distance int")
+    return found.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance")
+
+
+def hamming_pairs(hashes: DataFrame, threshold: int, bits: int = 64, chunks: int | None = None) -> DataFrame:
+    """``a < b, distance``: all pairs within ``threshold`` bits. Null hashes have no pair.
+
+    Either by chunk tables (multi-index hashing) or, where the number of rows or a wide threshold makes those cost more, by comparing blocks
+    of rows; ``chunks`` names the number of tables instead of asking the costs, 0 the blocks. Both give the same pairs."""
+    hashes = hashes.where("words is not null").select("id", "words")
+    n = hashes.count() if not chunks else 0
+    chunks = best_chunks(n, bits, threshold) if chunks is None else chunks
+    if not chunks:
+        return _block_pairs(hashes, threshold, max(1, min(4, n // 256), -(-n // BLOCK_ROWS))).distinct()
+    near = chunk_candidates(hashes, threshold, bits, chunks)
     return near.withColumn("distance", hamming(F.col("w_a"), F.col("w_b"))).where(F.col("distance") <= threshold).select("a", "b", "distance").distinct()
 
 
@@ -84,13 +158,38 @@ def group_numbers(labels: DataFrame) -> DataFrame:
     return labels.join(named, "component").select("id", "group_id", "size")
 
 
-def sweep(vertices: DataFrame, edges: DataFrame, thresholds: list[int]) -> DataFrame:
-    """Groups at every threshold: ``threshold, links, groups, multi, in_multi, largest``, components of all thresholds at once."""
-    spark = vertices.sparkSession
-    t = spark.createDataFrame([(x,) for x in thresholds], "threshold int")
-    linked = edges.join(F.broadcast(t), F.col("distance") <= F.col("threshold")).select("threshold", "a", "b")  # a short list
-    linked = _held(linked)
-    every = vertices.crossJoin(F.broadcast(t))
-    groups = components(every, linked, ("threshold",)).groupBy("threshold", "component").agg(F.count("*").alias("size"))
-    out = groups.groupBy("threshold").agg(F.count("*").alias("groups"), F.count_if(F.col("size") > 1).alias("multi"), F.sum(F.when(F.col("size") > 1, F.col("size")).otherwise(0)).alias("in_multi"), F.max("size").alias("largest"))
-    return out.join(linked.groupBy("threshold").agg(F.count("*").alias("links")), "threshold", "left").select("threshold", F.coalesce("links", F.lit(0)).cast("long").alias("links"), "groups", "multi", "in_multi", "largest")
+def spanning_forest(edges: DataFrame) -> DataFrame:
+    """The ``a, b, distance`` of a minimum spanning forest: groups at every threshold are those of the forest's edges up to it.
+
+    In every round each component takes its least edge (by distance, then ends, so that no circle closes) and what touches
+    is merged; rounds grow with the logarithm of the largest component, edges inside a component are dropped."""
+    live = _held(edges.select("a", "b", "distance", F.col("a").alias("ra"), F.col("b").alias("rb")).where("a != b").distinct())
+    forest = live.select("a", "b", "distance").limit(0)
+    while live.head(1):
+        ends = live.select(F.explode(F.array("ra", "rb")).alias("root"), F.struct("distance", "a", "b", "ra", "rb").alias("edge"))
+        picked = _held(ends.groupBy("root").agg(F.min("edge").alias("edge")).select("edge.*").distinct())
+        forest = forest.unionByName(picked.select("a", "b", "distance"))
+        roots = picked.select(F.explode(F.array("ra", "rb")).alias("id")).distinct()
+        labels = _held(components(roots, picked.select(F.col("ra").alias("a"), F.col("rb").alias("b"))))
+        for end in ("ra", "rb"):
+            live = live.join(labels.withColumnRenamed("id", end), end).drop(end).withColumnRenamed("component", end)
+        live = _held(live.where("ra != rb").groupBy("ra", "rb").agg(F.min(F.struct("distance", "a", "b")).alias("edge")).select("edge.*", "ra", "rb"))
+    return forest
+
+
+def sweep(vertices: DataFrame, edges: DataFrame, thresholds: list[int], exact: DataFrame | None = None) -> DataFrame:
+    """Groups at every threshold: ``threshold, links, groups, multi, in_multi, largest``.
+
+    Edges are thinned to a spanning forest once; components of all thresholds come from its edges. ``exact`` (``a, b``) links at any threshold."""
+    t = vertices.sparkSession.createDataFrame([(x,) for x in thresholds], "threshold int")
+    edges = _held(edges.select("a", "b", "distance"))
+    every = edges if exact is None else edges.unionByName(exact.select("a", "b", F.lit(min(thresholds)).cast(edges.schema["distance"].dataType).alias("distance")))
+    linked = _held(spanning_forest(every).join(F.broadcast(t), F.col("distance") <= F.col("threshold")).select("threshold", "a", "b"))  # a short list
+    touched = linked.select("threshold", F.explode(F.array("a", "b")).alias("id")).distinct()
+    groups = components(touched, linked, ("threshold",)).groupBy("threshold", "component").agg(F.count("*").alias("size"))
+    many = groups.groupBy("threshold").agg(F.count("*").alias("multi"), F.sum("size").alias("in_multi"), F.max("size").alias("largest"))
+    links = edges.groupBy("distance").agg(F.count("*").alias("n")).join(F.broadcast(t), F.col("distance") <= F.col("threshold")).groupBy("threshold").agg(F.sum("n").alias("links"))
+    total = vertices.agg(F.count("*").alias("total"))
+    out = t.join(many, "threshold", "left").join(links, "threshold", "left").crossJoin(F.broadcast(total))  # one row
+    none = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return out.select("threshold", none("links").alias("links"), (F.col("total") - none("in_multi") + none("multi")).alias("groups"), none("multi").alias("multi"), none("in_multi").alias("in_multi"), F.when(F.col("total") > 0, F.coalesce("largest", F.lit(1))).otherwise(0).cast("long").alias("largest"))

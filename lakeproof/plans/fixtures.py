@@ -62,6 +62,29 @@ old AS (SELECT path, sha256(text) AS sha FROM d WHERE doc_id % 103 != 0),
 new AS (SELECT path, sha256(text || CASE WHEN doc_id % 89 = 0 THEN '!' ELSE '' END) AS sha FROM d WHERE doc_id % 97 != 0)"""
 
 
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``image_id, vec_id, label, width, pixels, digest``: an 8 x 8 grey image of each embedding, a second shot of every third
+    (a little darker, with a fixed unevenness) and a copy of every seventh."""
+    e = table(spark, sf_dir, "embeddings")
+    pixels = F.transform("embedding", lambda x: 128 + 200 * x.cast("double"))
+    again = F.transform(pixels, lambda v, i: 0.97 * v + 1.5 * ((i * 37 + F.col("vec_id") * 11) % 13 - 6))
+    shot = lambda rows, k, px: rows.select((F.col("vec_id") * 3 + k).alias("image_id"), "vec_id", "label", F.lit(8).alias("width"), px.alias("pixels"))
+    rows = shot(e, 0, pixels).unionByName(shot(e.where("vec_id % 3 = 0"), 1, again)).unionByName(shot(e.where("vec_id % 7 = 0"), 2, pixels))
+    return rows.withColumn("digest", F.md5(F.array_join(F.transform("pixels", lambda v: F.round(v, 3).cast("decimal(12,3)").cast("string")), ",").cast("binary")))
+
+
+#: CTE ``im``: image_id, vec_id, copy (the row that it equals), y, x, v.
+IMAGES_SQL = """im AS (SELECT vec_id * 3 + k AS image_id, vec_id, label, CASE WHEN k = 2 THEN vec_id * 3 ELSE vec_id * 3 + k END AS same, i // 8 AS y, i % 8 AS x,
+CASE WHEN k = 1 THEN 0.97::DOUBLE * (128 + 200 * embedding[i + 1]::DOUBLE) + 1.5::DOUBLE * ((i * 37 + vec_id * 11) % 13 - 6) ELSE 128 + 200 * embedding[i + 1]::DOUBLE END AS v
+FROM embeddings, (SELECT unnest(range(3)) AS k), (SELECT unnest(range(64)) AS i) WHERE k = 0 OR (k = 1 AND vec_id % 3 = 0) OR (k = 2 AND vec_id % 7 = 0))"""
+
+
+def resampling_sql(name: str, to: int) -> str:
+    """CTE ``name``: weights ``w`` of input sample ``j`` (of 8) in output sample ``i`` of ``to``, bilinear at half-pixel centres, ends held."""
+    return f"""{name} AS (SELECT i, j, CASE WHEN greatest(floor(s), 0) = j THEN 1 - (s - floor(s)) ELSE 0 END + CASE WHEN least(floor(s) + 1, 7) = j THEN s - floor(s) ELSE 0 END AS w
+FROM (SELECT i, (i + 0.5::DOUBLE) * 8 / {to}.0::DOUBLE - 0.5::DOUBLE AS s FROM (SELECT unnest(range({to})) AS i)), (SELECT unnest(range(8)) AS j))"""
+
+
 def journal_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A journal of events with planted defects by ``event_id % 50``, and verdicts on every seventh."""
     e = table(spark, sf_dir, "events")
