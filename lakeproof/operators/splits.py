@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import itertools
+from collections import Counter
+from fractions import Fraction
 from functools import reduce
+from math import lcm
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
 from lakeproof.functions.scalars import text_number
+from lakeproof.operators.dedup import numbered
 
 FRACTIONS = {"train": 0.70, "validation": 0.15, "test": 0.15}
+#: Kinds of groups (size and mix of classes, about 100 bytes each) that are broadcast at most.
+BROADCAST_RUNS = 50_000
 
 
 def quarantined(rows: DataFrame, key: str, label: str, group: str, status: str | None = None) -> DataFrame:
@@ -22,56 +29,94 @@ def quarantined(rows: DataFrame, key: str, label: str, group: str, status: str |
     return out.withColumn("reason", F.coalesce(bad, F.when(F.col("_cross"), "cross_label_group"))).where("reason is not null").select(key, label, group, "reason")
 
 
+def _class_places(rows: DataFrame, label: str, order: list) -> DataFrame:
+    """``rows`` with ``_r``, their place from 1 within their class, and ``_n``, its size: numbered over ranges, so that no class is one task."""
+    classes = rows.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_n"))  # a row per class
+    classes = classes.withColumn("_before", F.sum("_n").over(W.orderBy("_label")) - F.col("_n"))
+    placed = numbered(rows, [F.col(label), *order], "_at")
+    return placed.join(F.broadcast(classes), F.col(label).eqNullSafe(F.col("_label"))).withColumn("_r", F.col("_at") - F.col("_before")).drop("_label", "_before", "_at")
+
+
 def naive_split(rows: DataFrame, key: str, label: str, seed: int = 42, fractions: dict[str, float] = FRACTIONS) -> DataFrame:
     """Per class, rows in a seeded order: the first shares (rounded half to even) to train and validation, the rest to test."""
     order = text_number(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
-    w = W.partitionBy(label)
-    ranked = rows.select(key, label, order.alias("_o")).select(key, label, F.row_number().over(w.orderBy("_o", key)).alias("_r"), F.count("*").over(w).alias("_n"))
+    ranked = _class_places(rows.select(key, label, order.alias("_o")), label, [F.col("_o"), F.col(key)])
     train, val = F.bround(F.col("_n") * fractions["train"]), F.bround(F.col("_n") * fractions["validation"])
     return ranked.select(key, label, F.when(F.col("_r") <= train, "train").when(F.col("_r") <= train + val, "validation").otherwise("test").alias("split"))
 
 
+def share_runs(runs: list[tuple[int, object, list[tuple[object, int]], int]], fractions: dict[str, float] = FRACTIONS) -> list[list[tuple[int, list[str]]]]:
+    """Where the groups of each run go: ``(from, pattern)`` segments, group ``i`` of a segment going to ``pattern[(i - from) % len(pattern)]``.
+
+    A run is ``size, dominant class, rows by class, number of groups`` of groups that are alike; runs are filled in order. Each group
+    goes to the split that lacks most rows of its dominant class, among equals to the one that lacks most rows of all classes, then to the
+    greatest name. Groups of a run change all splits' lacks alike, so once every split has had one in turn the turns repeat."""
+    shares = {s: Fraction(str(f)) for s, f in fractions.items()}
+    unit = lcm(*[f.denominator for f in shares.values()])
+    totals: Counter = Counter()
+    for _, _, counts, groups in runs:
+        for c, n in counts:
+            totals[c] += n * groups
+    quota = {s: {c: int(f * unit) * n for c, n in totals.items()} for s, f in shares.items()}
+    whole = {s: sum(q.values()) for s, q in quota.items()}
+    filled, all_filled = {s: Counter() for s in shares}, Counter()
+    out = []
+    for size, dominant, counts, groups in runs:
+        own, taken = dict(counts)[dominant], Counter()
+        lack = lambda s: (quota[s][dominant] - unit * (filled[s][dominant] + own * taken[s]), whole[s] - unit * (all_filled[s] + size * taken[s]), s)  # noqa: E731, B023
+        segments, done = [], 0
+        while done < groups:
+            turn = []
+            for _ in range(min(len(shares), groups - done)):
+                turn.append(max(shares, key=lack))
+                taken[turn[-1]] += 1
+            if len(set(turn)) == len(shares):  # all in turn: so it goes on to the end
+                full, rest = divmod(groups - done, len(turn))
+                for i, s in enumerate(turn):
+                    taken[s] += full - 1 + (i < rest)
+                segments.append((done, turn))
+                break
+            segments += [(done + i, [s]) for i, s in enumerate(turn)]
+            done += len(turn)
+            first, second = sorted(shares, key=lack)[:-3:-1]
+            ahead = min((lack(first)[0] - lack(second)[0]) // (unit * own) - 1, groups - done)
+            if ahead > 0:  # as long as it lacks more than any other
+                segments.append((done, [first]))
+                taken[first] += ahead
+                done += ahead
+        for s, n in taken.items():
+            all_filled[s] += n * size
+            for c, k in counts:
+                filled[s][c] += n * k
+        out.append(segments)
+    return out
+
+
 def group_split(rows: DataFrame, key: str, label: str, group: str, seed: int = 42, fractions: dict[str, float] = FRACTIONS) -> DataFrame:
-    """Whole groups to splits so that classes keep their shares: largest groups first in a seeded order, each to the
-    split that lacks most of the group's dominant class, then the greatest name. Which split lacks most rows of all classes
-    isn't asked among equals: classes would have to wait for each other.
-
-    Only groups of several rows need the sequential rule, one class at a time; single rows fill each split's open quota by rank.
-    """
-    counts = rows.groupBy(group, label).agg(F.count("*").alias("n"), F.min(key).alias("first"))
-    groups = counts.groupBy(group).agg(F.max_by(label, F.struct("n", -F.col("first"))).alias("dominant"), F.sum("n").alias("size"))
-    sizes = groups.groupBy("dominant").agg(F.sum("size").alias("total"))
-    several = groups.where("size > 1").join(F.broadcast(sizes), "dominant").select(F.col(group).cast("string").alias("grp"), "dominant", "size", "total")
-
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(jitter=[hash_of(f"{g}:{seed}") for g in pdf.grp]).sort_values(["size", "jitter", "grp"], ascending=[False, True, True])
-        filled = dict.fromkeys(fractions, 0)
-        out = []
-        for g, size, total in zip(pdf.grp, pdf["size"], pdf.total):
-            best = max(fractions, key=lambda s: (fractions[s] * total - filled[s], s))
-            filled[best] += size
-            out.append((g, best))
-        return pd.DataFrame(out, columns=["grp", "split"])
-
-    placed = several.groupBy("dominant").applyInPandas(assign, "grp string, split string")
-    held = groups.withColumn("grp", F.col(group).cast("string")).join(placed, "grp", "left")
-    filled = held.where("split is not null").groupBy("dominant").agg(*[F.sum(F.when(F.col("split") == s, F.col("size")).otherwise(0)).alias(f"f_{s}") for s in fractions])
-    quota = sizes.join(filled, "dominant", "left")
-    order = text_number(F.concat(F.col("grp"), F.lit(f":{seed}")))
-    single = held.where("split is null").withColumn("_r", F.row_number().over(W.partitionBy("dominant").orderBy(order, "grp"))).join(F.broadcast(quota), "dominant")
-    names = list(fractions)
-    room = [F.greatest(F.lit(0.0), fractions[s] * F.col("total") - F.coalesce(f"f_{s}", F.lit(0))) for s in names]
-    ends = [reduce(lambda a, b: a + b, room[: i + 1]) for i in range(len(names))]
-    choice = reduce(lambda out, i: F.when(F.col("_r") <= F.bround(ends[i]), names[i]).otherwise(out), reversed(range(len(names) - 1)), F.lit(names[-1]))
-    every = held.where("split is not null").select(group, "split").unionByName(single.select(group, choice.alias("split")))
-    return rows.join(every, group).select(key, label, group, "split")
-
-
-def hash_of(text: str) -> int:
-    """The same number as :func:`lakeproof.functions.scalars.text_number`."""
-    import hashlib
-
-    return int(hashlib.md5(text.encode()).hexdigest()[:8], 16)
+    """Whole groups to splits so that classes keep their shares: the largest groups first, those of one size class by class and in a
+    seeded order, by the rule of :func:`share_runs`.
+
+    The rule asks for one sequence over all groups, but groups of one size and the same rows by class are alike: only how many there are is
+    gathered (a row per size and mix of classes; there are fewer sizes than the root of twice the rows). Each group then finds its
+    split by its place in its run. Rows of a null group belong to none and are left out; a null class is a class."""
+    counts = rows.where(F.col(group).isNotNull()).groupBy(group, label).agg(F.count("*").alias("n"), F.min(key).alias("first"))
+    mix = F.sort_array(F.collect_list(F.struct(F.col(label).alias("label"), "n")))  # of one group: a few classes
+    groups = counts.groupBy(F.col(group).alias("_g")).agg(F.max_by(F.struct(F.col(label).alias("label")), F.struct("n", -F.col("first"))).alias("dominant"), F.sum("n").alias("size"), mix.alias("mix"))
+    jitter = text_number(F.concat(F.col("_g").cast("string"), F.lit(f":{seed}")))
+    placed = numbered(groups.withColumn("_jitter", jitter), [F.desc("size"), F.col("dominant"), F.col("mix"), F.col("_jitter"), F.col("_g")], "_at")
+    runs = groups.groupBy("size", "dominant", "mix").agg(F.count("*").alias("n")).orderBy(F.desc("size"), "dominant", "mix").collect()
+    plans = share_runs([(r["size"], r.dominant.label, [(x.label, x.n) for x in r.mix], r.n) for r in runs], fractions)
+    before = itertools.accumulate([r.n for r in runs], initial=0)
+    kind = groups.schema
+    made = rows.sparkSession.createDataFrame(
+        [(r["size"], r.dominant, r.mix, b, plan) for r, b, plan in zip(runs, before, plans)],
+        StructType([kind["size"], kind["dominant"], kind["mix"]]).add("_before", LongType()).add("_plan", ArrayType(StructType().add("a", LongType()).add("turns", ArrayType(StringType())))),
+    )
+    at = F.col("_at") - 1 - F.col("_before")
+    segment = F.element_at(F.filter("_plan", lambda x: x["a"] <= at), -1)
+    split = F.get(segment["turns"], ((at - segment["a"]) % F.size(segment["turns"])).cast("int"))
+    found = placed.join(F.broadcast(made) if len(runs) <= BROADCAST_RUNS else made, ["size", "dominant", "mix"]).select(F.col("_g").alias(group), split.alias("split"))
+    return rows.join(found, group).select(key, label, group, "split")
 
 
 def distribution(split: DataFrame, label: str) -> DataFrame:

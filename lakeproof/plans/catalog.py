@@ -165,7 +165,15 @@ def quarantine(spark, sf_dir):
     return splits.quarantined(_documents(spark, sf_dir), "doc_id", "lang", "sha")
 
 
-@query()
+@query(
+    """WITH RECURSIVE d AS (SELECT doc_id, lang, sha256(text) AS sha FROM documents), ok AS (SELECT * FROM d WHERE sha NOT IN (SELECT sha FROM d GROUP BY 1 HAVING count(DISTINCT lang) > 1)),
+tc AS (SELECT lang, count(*) AS n FROM ok GROUP BY 1), g AS (SELECT sha, any_value(lang) AS lang, count(*) AS size FROM ok GROUP BY 1),
+o AS (SELECT sha, size, g.lang, n, row_number() OVER (ORDER BY size DESC, g.lang, ('0x' || substr(md5(sha || ':42'), 1, 8))::BIGINT, sha) AS k FROM g JOIN tc USING (lang)),
+f AS (SELECT 0::BIGINT AS k, '' AS best, MAP {}::MAP(VARCHAR, BIGINT) AS held, (SELECT sum(n) FROM tc)::BIGINT AS every
+UNION ALL SELECT k, best, map_concat(held, MAP {best || lang: coalesce(held[best || lang], 0) + size, best: coalesce(held[best], 0) + size}), every FROM (
+SELECT o.k, f.held, f.every, o.lang, o.size, list_reverse(list_sort([{'d': 14 * n - 20 * coalesce(held['train' || o.lang], 0), 't': 14 * every - 20 * coalesce(held['train'], 0), 's': 'train'}, {'d': 3 * n - 20 * coalesce(held['validation' || o.lang], 0), 't': 3 * every - 20 * coalesce(held['validation'], 0), 's': 'validation'}, {'d': 3 * n - 20 * coalesce(held['test' || o.lang], 0), 't': 3 * every - 20 * coalesce(held['test'], 0), 's': 'test'}]))[1].s AS best FROM f JOIN o ON o.k = f.k + 1))
+SELECT doc_id, ok.lang, sha, best AS split FROM ok JOIN o USING (sha) JOIN f USING (k)"""
+)
 def split_primary(spark, sf_dir):
     d = _documents(spark, sf_dir)
     bad = splits.quarantined(d, "doc_id", "lang", "sha")
