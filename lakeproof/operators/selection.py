@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -64,6 +66,12 @@ def parity_cases(cases: DataFrame, case: str, steps: int) -> DataFrame:
     return rows.select("case", "step", (F.col("state") / F.lit(2147483648.0)).alias("value"))
 
 
+def open_runs(runs: DataFrame, by: tuple[str, ...], finished: Column) -> DataFrame:
+    """Combinations of the values of ``by`` that ``runs`` has, of which no group meets ``finished`` (an aggregate). The values of a column are few."""
+    grid = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), [runs.select(c).where(F.col(c).isNotNull()).distinct() for c in by])
+    return grid.join(runs.groupBy(*by).agg(finished.alias("_done")).where("_done").select(*by), list(by), "left_anti")
+
+
 def declared_totals(found: DataFrame, declared: DataFrame, key: str) -> DataFrame:
     """Counts found and declared per key, and their difference; null where nothing is declared."""
     own = found.groupBy(key).agg(F.count("*").alias("found"))

@@ -513,10 +513,11 @@ def folder_tree(spark, sf_dir):
     return records.folder_paths(r.unionByName(n), "id", "up", "name")
 
 
-@query(f"""SELECT m AS model, s::INT AS seed FROM (SELECT unnest({list(GAINS)!r}) AS m), (SELECT unnest([42, 123, 2026]) AS s) WHERE NOT (m = 'large' AND s = 42)""")
+@query("""WITH r AS (SELECT event_type AS model, (user_id % 40)::INT AS seed, value FROM events) SELECT model, seed FROM (SELECT DISTINCT model FROM r), (SELECT DISTINCT seed FROM r) EXCEPT SELECT model, seed FROM r GROUP BY 1, 2 HAVING max(value) > 200""")
 def open_experiments(spark, sf_dir):
-    grid = spark.createDataFrame([(m, s) for m in GAINS for s in SEEDS], "model string, seed int")
-    return grid.join(spark.createDataFrame([("large", 42)], "model string, seed int"), ["model", "seed"], "left_anti")
+    """Models and seeds without a finished run: events stand for progress reports, one beyond 200 for a finish."""
+    runs = table(spark, sf_dir, "events").select(F.col("event_type").alias("model"), (F.col("user_id") % 40).cast("int").alias("seed"), "value")
+    return selection.open_runs(runs, ("model", "seed"), F.max("value") > 200)
 
 
 @query()
@@ -628,18 +629,19 @@ def segment_masks(spark, sf_dir):
     return images.segment(own, "vec_id").select("vec_id", F.round("area", 4).alias("area"), "touches_border")
 
 
-def _streamed(spark, sf_dir, of, mode="complete"):
-    """What a stream over the journal's lines has given when all of them are read."""
-    import tempfile
+def _streamed(spark, sf_dir, of, mode="complete", more=None):
+    """What a stream over the journal's lines has given when all of them are read. ``more`` appends to the journal's folder first."""
     import uuid
 
-    from lakeproof.streaming import journal
+    from lakeproof.session import shared_dir
+    from lakeproof.streaming import journal, sinks
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
-    root = f"{root.rstrip('/')}/journal-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/journal-{uuid.uuid4().hex}"
     journal_lines(spark, sf_dir).write.text(f"{root}/lines")
+    if more is not None:
+        more(f"{root}/lines")
     rows = of(journal.journal_stream(spark, f"{root}/lines"))
-    return _rounded(journal.run_to_table(rows, f"journal_{uuid.uuid4().hex}", f"{root}/state", mode))
+    return _rounded(sinks.run_to_files(rows, f"{root}/rows", f"{root}/state", mode))
 
 
 @query()

@@ -289,3 +289,19 @@ def journal_verdicts(spark, sf_dir):
     """Records and their verdicts; those still waiting for one when the stream ends are not given."""
     rows = c._streamed(spark, sf_dir, lambda r: journal.folded(r.where("record_type is not null or image.sha256 != '0'")), "append")
     return rows.where("verdict is not null").select("record_id", "verdict")
+
+
+@query(
+    f"""{_GOOD} SELECT event_id::VARCHAR AS record_id, CASE WHEN event_id % 21 = 0 THEN 'unsure' WHEN event_id % 7 = 0 THEN ['correct', 'incorrect', 'unsure'][event_id % 3 + 1] END AS verdict,
+CASE WHEN event_id % 21 = 0 OR event_id % 14 = 0 THEN 'expert' WHEN event_id % 7 = 0 THEN 'lay' END AS expertise FROM g"""
+)
+def journal_latest_verdicts(spark, sf_dir):
+    """Every record with its latest verdict by event time, kept as state: more verdicts, older ones and newer ones, are appended to the journal."""
+    from lakeproof.streaming import verdicts
+
+    e = table(spark, sf_dir, "events")
+    event = lambda rows, v, who, after: rows.select(F.col("event_id").alias("record_id"), F.lit(v).alias("verdict"), F.lit(who).alias("expertise"), (F.col("ts") + F.expr(f"interval {after}")).alias("annotated_at"))
+    more = event(e.where("event_id % 14 = 0"), "incorrect", "lay", "30 minutes").unionByName(event(e.where("event_id % 21 = 0"), "unsure", "expert", "2 hours"))
+    good = lambda r: r.where("record_type is not null or image.sha256 != '0'")
+    rows = c._streamed(spark, sf_dir, lambda r: verdicts.latest_verdicts(good(r)), "append", lambda path: verdicts.append_verdicts(more, path))
+    return verdicts.current(rows.where("timestamp_utc is not null")).select("record_id", "verdict", "expertise")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -24,3 +25,14 @@ def ship(spark: SparkSession) -> None:
     path.write_bytes(held.getvalue())
     context.addPyFile(str(path))
     context._lakeproof_sent = True
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; only a local session may do without."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='lakeproof-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")

@@ -103,12 +103,17 @@ def test_journal(spark):
 
 
 def test_without_training_data_operators(tmp_path):
-    """The rest imports with that subpackage removed."""
-    for name in ("lakeproof", "__spark_entry__.py"):
+    """The rest imports, and its tests are found and pass, with that subpackage and its tests removed or never there."""
+    for name in ("lakeproof", "tests", "__spark_entry__.py"):
         (shutil.copytree if (ROOT / name).is_dir() else shutil.copy)(ROOT / name, tmp_path / name)
-    shutil.rmtree(tmp_path / "lakeproof/llm")
+    for name in ("lakeproof/llm", "tests/llm"):
+        shutil.rmtree(tmp_path / name, ignore_errors=True)
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); assert q and not any(x.startswith('op') and x[2].isdigit() for x in q); e.oracle_sql()"], cwd=tmp_path, capture_output=True, text=True)
     assert said.returncode == 0, said.stderr
+    said = subprocess.run([sys.executable, "-m", "pytest", "tests/test_core.py", "-q", "-k", "csv or scalars or files"], cwd=tmp_path, capture_output=True, text=True)
+    assert said.returncode == 0, said.stdout
+    said = subprocess.run([sys.executable, "-m", "pytest", "tests", "-q", "--collect-only"], cwd=tmp_path, capture_output=True, text=True)
+    assert said.returncode == 0, said.stdout
 
 
 def test_crossing_pairs(spark):
