@@ -73,6 +73,25 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("digest", F.md5(F.array_join(F.transform("pixels", lambda v: F.round(v, 3).cast("decimal(12,3)").cast("string")), ",").cast("binary")))
 
 
+def scenes(spark: SparkSession, sf_dir: str, side: int = 32) -> DataFrame:
+    """``vec_id, width, pixels``: colour images of a textured disc with a hole before a light backdrop. Every fifth backdrop is
+    saturated, every seventh disc is cut by the border, every eleventh image has none."""
+    v, i = F.col("vec_id"), lambda k: (F.floor(k / 3 / side), F.floor(k / 3) % side, k % 3)
+    cx, cy, r = F.when(v % 7 == 0, 1).otherwise(11 + v % 9), 12 + v % 8, 5 + v % 4
+
+    def value(k: Column) -> Column:
+        y, x, c = i(k)
+        d = (x - cx) * (x - cx) + (y - cy) * (y - cy)
+        inside = (d <= r * r) & (d > 2) & (v % 11 != 0)
+        texture = 60 * F.get("embedding", ((F.floor(y / 4) * 8 + F.floor(x / 4)) % 64).cast("int")).cast("double")
+        own = F.when(c == 0, 60).when(c == 1, 130).otherwise(45) + texture
+        back = F.when(v % 5 == 0, F.when(c == 0, 190).when(c == 1, 120).otherwise(40)).otherwise(F.when(c == 0, 236).when(c == 1, 233).otherwise(228)) + (k * 37 + v * 11) % 7
+        return F.floor(F.greatest(F.least(F.when(inside, own).otherwise(back), F.lit(255)), F.lit(0)))
+
+    pixels = F.transform(F.sequence(F.lit(0), F.lit(side * side * 3 - 1)), value)
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.lit(side).alias("width"), pixels.alias("pixels"))
+
+
 #: CTE ``im``: image_id, vec_id, copy (the row that it equals), y, x, v.
 IMAGES_SQL = """im AS (SELECT vec_id * 3 + k AS image_id, vec_id, label, CASE WHEN k = 2 THEN vec_id * 3 ELSE vec_id * 3 + k END AS same, i // 8 AS y, i % 8 AS x,
 CASE WHEN k = 1 THEN 0.97::DOUBLE * (128 + 200 * embedding[i + 1]::DOUBLE) + 1.5::DOUBLE * ((i * 37 + vec_id * 11) % 13 - 6) ELSE 128 + 200 * embedding[i + 1]::DOUBLE END AS v
