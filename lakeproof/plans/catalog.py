@@ -651,4 +651,4 @@ def fieldlog_stream(spark, sf_dir):
     return _streamed(spark, sf_dir, journal.windowed)
 
 
-from lakeproof.plans import cells, copies, reports, stored  # noqa: E402, F401  register their queries here
+from lakeproof.plans import cells, copies, frozen, reports, stored  # noqa: E402, F401  register their queries here
