@@ -5,8 +5,9 @@ the text length, punctuation, link text and nodes are added up; length per node
 smoothed over neighbouring paths in page order, fused with the share of text outside links, and compared with a
 share of the page's length-weighted mean. Paths at or above it are content. The content root is the container with
 the most fused text, where a marked article (``article``, ``main``) counts as one container; if it is one, the
-other articles are roots too. The root's blocks on content paths are the result, with its headings that are no links.
-Text in boilerplate (by tag, class, id or role) is filtered out before.
+other articles are roots too. The root's text is the result but for paths that are mostly links and no content.
+Text in boilerplate (by tag, class, id or role) is filtered out before; inside a marked article a text block (a paragraph, quotation, caption, cell,
+list item or heading) is no boilerplate for class words that an author may use too (:data:`AUTHOR_WORDS`).
 
 Edge cases: null and empty pages and pages without content give an empty text; markup may be unclosed, nested
 wrongly or cut off; a page is processed whole, in time proportional to its length and whatever its depth; of roots of
@@ -39,6 +40,9 @@ BOILER_WORDS = frozenset(
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login share sharing social related recommended recommendations "
     "comment comments reply replies respond disqus widget search pagination pager toolbar copyright legal disclaimer skip".split()
 )
+#: Of these, words that also name parts of an article; and the elements that hold one block of text.
+AUTHOR_WORDS = frozenset("aside footer header masthead banner notice notices alert legal disclaimer copyright skip search share related recommended navigation menu widget promotion overlay".split())
+TEXT_BLOCKS = frozenset("p blockquote figcaption caption td th li dt dd pre h1 h2 h3 h4 h5 h6".split()) | INLINE
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<!--.*?(?:-->|\Z)|<[!?/][^>]+>""", re.S)
@@ -52,8 +56,11 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，]")
 class HtmlParams:
     #: A path is content from this share of the page's length-weighted mean of fused ratios.
     threshold: float = 0.1
-    #: Neighbouring paths on either side that a ratio is smoothed with.
+    #: Neighbouring paths on either side that a ratio is smoothed with, and the weight of its own value among theirs.
     smooth: int = 1
+    own: int = 4
+    #: Paths count for the choice of the root from this share of that mean on, so that the bulk of many short pieces doesn't.
+    root_threshold: float = 0.9
 
 
 class _Page:
@@ -139,7 +146,8 @@ class _Page:
         inside = in_root is not None
         boiler = hidden or name in BOILER_TAGS or bool(roles & BOILER_ROLES) or name == "header" and not inside
         if name not in ("html", "body", "main"):
-            boiler |= bool(words & BOILER_WORDS) and not (name == "article" and not words & {"comment", "ad", "advert", "promo", "sponsored", "related", "reply"}) and not (name == "header" and inside and words <= {"header", "article", "entry", "post", "title"})
+            telling = words & BOILER_WORDS - (AUTHOR_WORDS if inside and name in TEXT_BLOCKS else frozenset())
+            boiler |= bool(telling) and not (name == "article" and not words & {"comment", "ad", "advert", "promo", "sponsored", "related", "reply"}) and not (name == "header" and inside and words <= {"header", "article", "entry", "post", "title"})
         path = self._path(above, name, name + "".join(f".{w}" for w in sorted(words)))
         own_root = path if root and not boiler and in_root is None else in_root
         self._open_at[name].append(len(self._stack))
@@ -182,7 +190,8 @@ def path_scores(nodes: list[tuple], params: HtmlParams) -> dict[int, float]:
 
     def smoothed(value: dict) -> list[float]:
         raw = [value[p] / counts[p] for p in order]
-        return [sum(raw[max(0, i - params.smooth) : i + params.smooth + 1] + [raw[i]]) / (len(raw[max(0, i - params.smooth) : i + params.smooth + 1]) + 1) for i in range(len(raw))]
+        near = [raw[max(0, i - params.smooth) : i + params.smooth + 1] + [raw[i]] * (params.own - 1) for i in range(len(raw))]
+        return [sum(x) / len(x) for x in near]
 
     return {p: a * (1 + b) * (1 - links[p] / chars[p]) for p, a, b in zip(order, smoothed(chars), smoothed(marks))}
 
@@ -199,10 +208,12 @@ def main_text(html: str, params: HtmlParams = HtmlParams()) -> str:
         weight[x[1]] += len(x[5].strip())
     mean = sum(scores[p] * weight[p] for p in scores) / max(1, sum(weight[p] for p in scores))
     content = {p for p, s in scores.items() if s >= params.threshold * mean}
+    if not content:
+        return ""
     totals: dict[int, float] = defaultdict(float)
     marked = set()
     for x in open_nodes:
-        if x[1] in content:
+        if x[1] in content and scores[x[1]] >= params.root_threshold * mean:
             # What stands in a marked article counts for the whole of it.
             holder = x[2] if x[2] is not None else page.parent[page.block[x[1]]]
             marked |= {holder} if x[2] is not None else set()
@@ -213,8 +224,13 @@ def main_text(html: str, params: HtmlParams = HtmlParams()) -> str:
     for p in range(1, len(page.parent)):
         under.append(p == best or under[page.parent[p]])
     inside = [x for x in open_nodes if (x[2] is not None if best in marked else under[x[1]])]
-    # A heading is short by nature: it goes with what it heads, unless it is a link.
-    chosen = [x for x in inside if page.block[x[1]] in own or page.heading[x[1]] and not x[4]]
+    # Short blocks of the root are the article's too; only lists of links aren't.
+    linked, chars = defaultdict(int), defaultdict(int)
+    for x in inside:
+        n = len("".join(x[5].split()))
+        linked[page.block[x[1]]] += n * x[4]
+        chars[page.block[x[1]]] += n
+    chosen = [x for x in inside if page.block[x[1]] in own or 2 * linked[page.block[x[1]]] <= chars[page.block[x[1]]]]
     blocks: dict[int, list[str]] = defaultdict(list)
     for x in chosen:
         blocks[x[0]].append(x[5])

@@ -50,3 +50,31 @@ def test_repeated_and_tied_pages(spark):
     twins = "<body><div class='a'><p>One text, here.</p></div><div class='b'><p>One text, too.</p></div></body>"
     df = spark.createDataFrame([(i, "u", twins, "x", 1) for i in (1, 1, 2)], "page_id long, url string, html string, text string, ranges int")
     assert {(r.page_id, r.text, r.ranges) for r in extract_text(df).collect()} == {(1, main_text(twins), 1), (2, main_text(twins), 1)}
+
+
+def test_short_blocks_of_an_article_stay():
+    """Quotations, cells, captions and notes of any class, beside long paragraphs."""
+    extra = "<blockquote>So it goes</blockquote><table><tr><td>Salt</td><td>2 g</td></tr></table><figure><figcaption>A view</figcaption></figure><p class='legal-note'>No warranty</p><p class='skip'>Mind the gap</p><h2 id=search>Search</h2><p><a href=x>One link</a> and words around it</p>"
+    got = main_text(f"<body><article>{LONG}{extra}</article></body>")
+    assert got == f"{WANT} So it goes Salt 2 g A view No warranty Mind the gap Search One link and words around it"
+    assert main_text(f"<body><article>{LONG}<div class=share>Tell your friends</div><p class=newsletter>Join us</p><aside>Aside</aside></article></body>") == WANT
+
+
+#: Pages without ``article`` and without telling classes: the larger part of the text isn't the article.
+CLOUD = "<div class='kc'>" + "".join(f"<span>topic {i} of many</span><br>" for i in range(150)) + "</div>"
+TICKER = "<div class='kx'>" + "".join(f"<div>City {i} sunny and warm today</div>" for i in range(90)) + "</div>"
+PLAIN = [
+    (f"<body><div class='ka'>{LONG}</div>{CLOUD}</body>", WANT),
+    (f"<body>{TICKER}<div class='kb'><div class='kd'>{LONG}</div></div></body>", WANT),
+    (f"<body><table><tr><td>{CLOUD}</td><td><div class=z>{LONG}</div></td></tr></table></body>", WANT),
+]
+
+
+def test_ratios_decide(monkeypatch):
+    """The ratios find the text; with the same score for every path the bulk of short pieces wins."""
+    from lakeproof.llm import html_text
+
+    assert [main_text(page) for page, _ in PLAIN] == [want for _, want in PLAIN]
+    real = html_text.path_scores
+    monkeypatch.setattr(html_text, "path_scores", lambda *a: dict.fromkeys(real(*a), 1.0))
+    assert all(main_text(page) != want for page, want in PLAIN)
