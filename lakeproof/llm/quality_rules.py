@@ -7,8 +7,9 @@ texts are judged from a least length: in characters, and in words as the number
 that length has in its language, so that texts with few or none are judged too. Without any the word distance is 1.
 A language whose rows hold no common word has no word reference, and its rows no word distance.
 
-Edge cases: null and empty texts have no words and fail; a null ``lang`` is a language of its own; repeated rows
-count once each; an empty table gives an empty result; other columns are ignored.
+Edge cases: null and empty texts have no words and fail; texts are read whole, however long; a null ``lang`` counts as an empty one;
+repeated rows and null ids count and are judged once each; common words are counted as they are written in lower case, others not at
+all; a distance equal to its bound is kept; an empty table gives an empty result; other columns are left out.
 """
 
 from __future__ import annotations
@@ -30,6 +31,10 @@ COMMON_WORDS = "the of and to in is de la le et les que der die und zu das ist e
 CLASSES = {"comma": ",", "stop": ".", "digit": "0123456789", "symbol": "#*$%&|<>"}
 
 
+#: Texts of fewer words have their windows packed, with 54 bits of hash or more.
+PACKED_WORDS = 1_024
+
+
 @dataclass(frozen=True)
 class QualityParams:
     min_words: int = 50
@@ -79,18 +84,20 @@ def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
         F.filter("words", lambda w: w.isin(*COMMON_WORDS)).alias("common"),
     )
-    # Each 3-word window as one long: a hash, then its place in as few bits as the text needs.
+    # Each 3-word window with its place: of short texts as one long (a hash, then the place in as few bits as it needs), which sorts
+    # fastest; of longer ones, where that would leave the hash too few bits, as a pair.
     right, left = (lambda x, n, f=f: F.call_function(f, x, n) for f in ("shiftright", "shiftleft"))
+    short = F.col("n_words") < PACKED_WORDS
     rows = rows.withColumn("bits", F.length(F.bin(F.col("n_words"))))
-    packed = F.transform(
-        F.slice("hashes", 1, F.greatest(F.col("n_words") - 2, F.lit(0)).cast("int")),
-        lambda h, i: left(F.xxhash64(h, F.get("hashes", i + 1), F.get("hashes", i + 2)), F.col("bits")).bitwiseOR(i),
-    )
-    rows = rows.select(id_col, "lang", "n_chars", "classes", "n_words", "word_chars", "n_dup_lines", "common", "bits", F.sort_array(packed).alias("windows"))
-    twins = F.zip_with("windows", F.slice("windows", 2, F.greatest(F.size("windows"), F.lit(1))), lambda a, b: F.when(right(a.bitwiseXOR(b), F.col("bits")) == 0, F.array(a, b)))
-    rows = rows.withColumn("twins", F.filter(twins, lambda x: x.isNotNull()))
-    place = lambda x: x.bitwiseAND(left(F.lit(1).cast("long"), F.col("bits")) - 1)
-    rows = rows.withColumn("places", F.sort_array(F.transform(F.array_distinct(F.flatten("twins")), place)))
+    starts = F.slice("hashes", 1, F.greatest(F.col("n_words") - 2, F.lit(0)).cast("int"))
+    hashed = lambda h, i: F.xxhash64(h, F.get("hashes", i + 1), F.get("hashes", i + 2))
+    packed = F.transform(F.when(short, starts), lambda h, i: left(hashed(h, i), F.col("bits")).bitwiseOR(i))
+    paired = F.transform(F.when(~short, starts), lambda h, i: F.struct(hashed(h, i).alias("h"), i.cast("long").alias("i")))
+    rows = rows.select(id_col, "lang", "n_chars", "classes", "n_words", "word_chars", "n_dup_lines", "common", "bits", F.sort_array(packed).alias("packed"), F.sort_array(paired).alias("paired"))
+    beside = lambda name, like, place: F.flatten(F.filter(F.zip_with(name, F.slice(name, 2, F.greatest(F.size(name), F.lit(1))), lambda a, b: F.when(like(a, b), F.array(place(a), place(b)))), lambda x: x.isNotNull()))
+    low = lambda x: x.bitwiseAND(left(F.lit(1).cast("long"), F.col("bits")) - 1)
+    twins = F.when(short, beside("packed", lambda a, b: right(a.bitwiseXOR(b), F.col("bits")) == 0, low)).otherwise(beside("paired", lambda a, b: a["h"] == b["h"], lambda x: x["i"]))
+    rows = rows.withColumn("places", F.sort_array(F.array_distinct(twins)))
     gaps = F.zip_with("places", F.slice("places", 2, F.greatest(F.size("places"), F.lit(1))), lambda a, b: F.least(F.coalesce(b - a, F.lit(3)), F.lit(3)).cast("long"))
     total = F.aggregate("classes", F.lit(0).cast("long"), lambda s, x: s + x)
     char_hist = F.concat("classes", F.array(F.col("n_chars") - F.col("word_chars"), F.col("word_chars") - total))

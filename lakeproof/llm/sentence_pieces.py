@@ -94,6 +94,8 @@ class PieceModel:
     squeeze: bool = True
     #: Parts and pairs in the young generation of what is remembered, about, at most.
     memory: int = 40_000
+    #: Characters from which on a part is cut at its seams.
+    long: int = 48
     _parts: _Remembered = field(default_factory=_Remembered, repr=False)
     _pairs: _Remembered = field(default_factory=_Remembered, repr=False)
 
@@ -118,7 +120,9 @@ class PieceModel:
     def __post_init__(self) -> None:
         if self.model not in (UNIGRAM, BPE):
             raise ValueError("only unigram and byte-pair models are supported")
-        own = np.flatnonzero(np.isin(self.kinds, (NORMAL, USER, UNUSED)))
+        if (self.kinds == USER).any() or self.model == BPE and (self.kinds == UNUSED).any():
+            raise ValueError("user-defined pieces, and unused ones of byte-pair models, are not supported")
+        own = np.flatnonzero(self.kinds == NORMAL)
         self.ids = {self.pieces[i]: int(i) for i in own}
         self.longest = max(map(len, self.ids), default=1)
         texts = list(self.ids)
@@ -143,6 +147,20 @@ class PieceModel:
         crossing = any(MARK in t.lstrip(MARK) for t in texts)
         self.parts = re.compile(rf"{MARK}*[^{MARK}]+|{MARK}+" if not crossing else r"(?s).+")
 
+        points = np.frombuffer("\n".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+        #: Neighbouring characters inside pieces; no piece crosses any other pair.
+        self.inner = np.unique(points[:-1] << 21 | points[1:])
+
+    def seamed(self, part: str) -> list[str]:
+        """A long part cut where no piece can cross, which changes no encoding: time follows its length, and what is cut off is remembered."""
+        if len(part) <= self.long or not self.bytes:  # without byte pieces unknown neighbours become one
+            return [part]
+        points = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        pairs = points[:-1] << 21 | points[1:]
+        at = np.minimum(np.searchsorted(self.inner, pairs), len(self.inner) - 1)
+        cuts = [0, *(np.flatnonzero(self.inner[at] != pairs) + 1).tolist(), len(part)]
+        return [part[a:b] for a, b in zip(cuts, cuts[1:])]
+
     def escaped(self, text: str) -> str:
         if self.squeeze:
             text = " ".join(x for x in text.split(" ") if x)
@@ -263,7 +281,7 @@ class PieceModel:
 
     def packed(self, texts: list[str]) -> list[bytes]:
         """Ids as 32-bit numbers. Parts are remembered as bytes, which the collector of cycles has not to walk."""
-        split = [self.parts.findall(self.escaped(t)) for t in texts]
+        split = [[x for part in self.parts.findall(self.escaped(t)) for x in (self.seamed(part) if len(part) > self.long else (part,))] for t in texts]
         fresh: dict[int, set[str]] = {}
         self._parts.renew(self.memory)
         for own in split:

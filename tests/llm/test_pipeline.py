@@ -32,6 +32,33 @@ def test_library(model):
     assert [own.decode(x) for x in ids] == [lib.decode(x) for x in ids]
 
 
+def test_long_parts(model):
+    """Texts without spaces: as the library has it, and in proportion to length."""
+    import time
+
+    sentencepiece = pytest.importorskip("sentencepiece")
+    own, lib = PieceModel.parse(model), sentencepiece.SentencePieceProcessor(model_file=tokenizer_path())
+    rng = np.random.default_rng(5)
+    alphabets = ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "的一是不了人我在有他这", "aé😀\x00日"]
+    texts = ["".join(rng.choice(list(a), n)) for a in alphabets for n in (47, 48, 49, 50, 200, 3_000)] + ["".join(rng.choice(["tion", "ing", "the", "x9"], 800))]
+    assert own.encode(texts) == lib.encode(texts)
+    blob = "".join(rng.choice(list(alphabets[0]), 300_000))
+    began = time.process_time()
+    assert own.encode([blob]) == lib.encode([blob])
+    assert time.process_time() - began < 30
+
+
+def test_refused_models():
+    """Pieces that this encoder would treat wrongly are an error."""
+    kinds = np.array([2, 1, 1, 4])
+    with pytest.raises(ValueError):
+        PieceModel(["<unk>", "a", "b", "ab"], np.zeros(4), kinds)
+    with pytest.raises(ValueError):
+        PieceModel(["<unk>", "a", "b", "ab"], np.zeros(4), np.array([2, 1, 1, 5]), model=2)
+    m = PieceModel(["<unk>", "a", "b", "ab"], np.array([0.0, -1.0, -1.0, -0.1]), np.array([2, 1, 1, 5]), dummy_prefix=False)
+    assert m.encode(["abab"]) == [[1, 2, 1, 2]]  # the unused piece is never given
+
+
 def test_unigram():
     """Against every segmentation."""
     rng = np.random.default_rng(1)
