@@ -15,6 +15,35 @@ def paired(rows: DataFrame, name: str = "model", by: tuple[str, ...] = ("seed",
     return side("a").join(side("b"), list(by)).where("model_a < model_b")
 
 
+def alignment(a: DataFrame, b: DataFrame, key: str = "test_index", label: str = "y_true") -> DataFrame:
+    """What keeps two sets of predictions from being paired, in one row: ``only_a, only_b, unlike_labels, repeated``.
+
+    A null label is unlike any label but a null one; a null key is counted as on one side only."""
+    side = lambda df, s: df.groupBy(key).agg(F.count("*").alias(f"n_{s}"), F.first(label).alias(f"y_{s}"))
+    rows = side(a, "a").join(side(b, "b"), key, "full")
+    none = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    both = F.col("n_a").isNotNull() & F.col("n_b").isNotNull()
+    return rows.agg(
+        none(F.col("n_b").isNull()).alias("only_a"),
+        none(F.col("n_a").isNull()).alias("only_b"),
+        none(both & ~F.col("y_a").eqNullSafe(F.col("y_b"))).alias("unlike_labels"),
+        none((F.coalesce("n_a", F.lit(0)) > 1) | (F.coalesce("n_b", F.lit(0)) > 1)).alias("repeated"),
+    )
+
+
+def require_aligned(a: DataFrame, b: DataFrame, key: str = "test_index", label: str = "y_true", what: str = "predictions") -> None:
+    """Refuse to pair sets of predictions that aren't of the same rows and labels."""
+    found = alignment(a, b, key, label).first()
+    if any(found):
+        raise ValueError(f"{what} can't be paired: {found.only_a} rows on one side only, {found.only_b} on the other, {found.unlike_labels} with unlike labels, {found.repeated} repeated")
+
+
+def require_digest(one: str | None, two: str | None, what: str = "models") -> None:
+    """Refuse to compare results of unlike artefacts; a missing digest is unlike any."""
+    if not one or not two or one.lower() != two.lower():
+        raise ValueError(f"results are of unlike {what}: {one} and {two}")
+
+
 def paired_outcomes(rows: DataFrame, outcomes: str = "outcomes") -> DataFrame:
     """As :func:`paired`, of rows that hold their outcomes as an array of ``model, seed, correct``: no join, a row per pair of models and seed."""
     other = lambda x: F.transform(F.filter(outcomes, lambda y: (y["seed"] == x["seed"]) & (y["model"] > x["model"])), lambda y: F.struct(x["seed"].alias("seed"), x["model"].alias("model_a"), y["model"].alias("model_b"), x["correct"].alias("correct_a"), y["correct"].alias("correct_b")))

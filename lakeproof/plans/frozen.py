@@ -1,4 +1,4 @@
-"""Registered queries of stored arrays, archives and the report of figures from fifteen documents."""
+"""Registered queries of stored arrays, archives, the report of figures from fifteen documents, intervals and refusals."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakeproof.operators import compare, resampling
 from lakeproof.plans import catalog as c
 from lakeproof.plans.fixtures import GAINS, preds, preds_sql, table
 from lakeproof.plans.stored import _folder
@@ -143,3 +144,27 @@ def frozen_figures(spark, sf_dir):
     """Figures of nine sections picked from fifteen documents, four of them missing, each with where it comes from."""
     each = [f(spark, sf_dir).select(F.lit(name).alias("source"), F.to_json(F.struct("*")).alias("body")) for name, f in _DOCUMENTS.items() if f]
     return files.frozen(reduce(DataFrame.unionByName, each), [p[:4] for p in _PLACES])
+
+
+@query()
+def bootstrap_metrics(spark, sf_dir):
+    """Intervals of accuracy, balanced accuracy and macro-F1 over 2,000 draws; the draws are numpy's, so no SQL can repeat them."""
+    return rounded(resampling.bootstrap_intervals(c._top(spark, sf_dir)))
+
+
+@query()
+def paired_bootstrap_metrics(spark, sf_dir):
+    """Differences of two models on the same draws, in points, and whether they may be none."""
+    a, b = c._top(spark, sf_dir, 1.8), c._top(spark, sf_dir, 1.6)
+    compare.require_aligned(a, b)
+    rows = a.select("test_index", "y_true", F.col("y_pred").alias("a")).join(b.select("test_index", F.col("y_pred").alias("b")), "test_index")
+    return rounded(resampling.paired_intervals(rows, "a", "b"))
+
+
+@query("""SELECT count(*) FILTER (vec_id % 31 = 0 AND vec_id % 37 <> 0) AS only_a, count(*) FILTER (vec_id % 37 = 0 AND vec_id % 31 <> 0) AS only_b, count(*) FILTER (vec_id % 31 <> 0 AND vec_id % 37 <> 0 AND vec_id % 41 = 0) AS unlike_labels, count(*) FILTER (vec_id % 43 = 0 AND vec_id % 37 <> 0) AS repeated FROM embeddings""")
+def alignment_faults(spark, sf_dir):
+    """Two sets of predictions with planted gaps, wrong labels and repeats."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("test_index"), F.col("label").alias("y_true"))
+    a = rows.where("test_index % 37 != 0")
+    b = rows.where("test_index % 31 != 0").withColumn("y_true", F.when(F.col("test_index") % 41 == 0, F.col("y_true") + 1).otherwise(F.col("y_true")))
+    return compare.alignment(a.unionByName(a.where("test_index % 43 = 0")), b)
