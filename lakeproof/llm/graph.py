@@ -11,8 +11,8 @@ from lakeproof.llm.tables import cut
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``v, component`` (the smallest id reachable) for every end of an edge, by alternating large and small stars.
 
-    Each step aggregates a minimum per vertex and joins it back, so a hub is never gathered in one task; the
-    number of steps grows with the logarithm of the largest component.
+    Each step aggregates a minimum per vertex, in parts before the shuffle, and joins it back: there the edges of a hub, three columns wide, meet
+    in one partition, which adaptive execution splits. The number of steps grows with the logarithm of the largest component.
     """
     stars = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct(), "edges")
     state = None

@@ -12,8 +12,10 @@
 4. The share of the union's bottom-k that both sides hold estimates the similarity and drops pairs five standard
    deviations below the threshold; the rest is confirmed on the full sets.
 
-Edge cases: null and empty texts have no set, are linked with nothing and stay; a text of fewer words than a
-shingle is one shingle; ids are taken as unique; an empty table gives an empty result; other columns are ignored.
+Edge cases: null and empty texts have no set, are linked with nothing and stay; texts are read whole, however long; a text of
+fewer words than a shingle is one shingle; ties at the threshold are links; ids are taken as unique, rows that repeat one are judged
+by their own texts; a row without an id gets its group's component but can't be named, represents no group and stays; an empty
+table gives an empty result; other columns are left out.
 """
 
 from __future__ import annotations
