@@ -120,7 +120,8 @@ def manifest(leaves: DataFrame, params: MerkleParams = MerkleParams()) -> DataFr
 
     ``leaf``: the row's digest (32 bytes); ``held``: the digest of the row as its holder has it, null where that is the leaf itself."""
     arity = params.arity
-    placed = _placed(leaves.select("source", "key", "leaf", "held"), ["source", "key", "leaf"], "leaves", "place")
+    hashed = cut(leaves.select("source", "key", "leaf", "held"), "hashed")  # ranges are found by a pass of their own, which would hash the texts again
+    placed = _placed(hashed, ["source", "key", "leaf"], "leaves", "place")
     sources = _placed(placed.groupBy("source").agg(F.count("*").alias("n"), F.min("place").alias("first")), ["first"], "sources", "tree")
     n_sources, most = sources.agg(F.count("*"), F.max("n")).first()
     indexed = cut(_indexed(placed, sources, n_sources, params.broadcast_sources), "indexed")
