@@ -1,9 +1,7 @@
 """Substring dedup: word windows that stand anywhere else too, by FM-indexes over shards of candidate passages.
 
 1. A window's minimiser is the least hash of its 8-word grams, so equal windows have equal minimisers. Runs of
-   windows with one minimiser are segments; minimisers of one place only are done with. Segments of a minimiser of many places
-   are parted by the second least hash as well, which equal windows share too, so that a common passage between
-   unlike neighbours is spread over shards.
+   windows with one minimiser are segments; minimisers of one place only are done with.
 2. The other segments are cut out of the texts, equal ones collapsed with their count, and sharded by minimiser:
    all places of a window are in one shard, and the number of shards grows with the words in them.
 3. Each shard is indexed (Burrows-Wheeler transform in a wavelet matrix of bit vectors with block ranks) and its
@@ -41,8 +39,6 @@ class SubstringParams:
     gram: int = 8
     #: Words of distinct segments in a shard, about.
     shard_words: int = 1_000_000
-    #: Places of a minimiser from which on its segments are parted by the second least hash.
-    hot_places: int = 500
 
     def __post_init__(self) -> None:
         if not 1 <= self.gram <= self.window <= 64:  # the index sorts by 64 symbols
@@ -93,39 +89,24 @@ def _segmenter(p: SubstringParams):
     return run
 
 
-def parted(hashes: np.ndarray, m: int, p: SubstringParams) -> Iterator[tuple[int, int, int]]:
-    """Runs of the windows of a segment, given its words' hashes, whose second least gram is the same: ``key, first window, windows``."""
-    own = np.int64(m).view(np.uint64)
-    g = wd.grams(hashes, p.gram)
-    second = _least(np.where(g == own, np.uint64(2**64 - 1), g), p.window - p.gram + 1)
-    with np.errstate(over="ignore"):
-        keys = wd.mix(second + wd.mix(np.full(1, own))).view(np.int64)
-    edge = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
-    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
-        yield int(keys[a]), a, b - a
-
-
 def _cutter(p: SubstringParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, 1)):
             wanted = batch.column(2).to_pylist()
             ids = batch.column(0)
             for at, chunk in wd.chunks(wd.encoded(batch.column(1)), wd.SPACED):
-                hashes = chunk.hashes()
-                short = hashes.astype(np.uint32)
+                short = chunk.hashes().astype(np.uint32)
                 row, ms, starts, sizes, held = [], [], [], [], []
                 for i in range(len(chunk.first) - 1):
                     for x in wanted[at + i]:
                         a = chunk.first[i] + x["start"]
                         if a + x["n"] + p.window - 1 > chunk.first[i + 1]:
                             continue  # of another text of this id
-                        whole = slice(a, a + x["n"] + p.window - 1)
-                        for key, first, n in parted(hashes[whole], x["m"], p) if x["hot"] else ((x["m"], 0, x["n"]),):
-                            row.append(at + i)
-                            ms.append(key)
-                            starts.append(x["start"] + first)
-                            sizes.append(n)
-                            held.append(short[a + first : a + first + n + p.window - 1].tobytes())
+                        row.append(at + i)
+                        ms.append(x["m"])
+                        starts.append(x["start"])
+                        sizes.append(x["n"])
+                        held.append(short[a : a + x["n"] + p.window - 1].tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(ms, pa.int64()), ids.take(pa.array(row, pa.int64())), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(held, pa.binary())], names=["m", "id", "start", "n", "held"])
 
     return run
@@ -246,8 +227,8 @@ def repeated_ranges(docs: DataFrame, params: SubstringParams = SubstringParams()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     runs = cut(texts.mapInArrow(serving("substrings", _segmenter(params)), f"m long, id {kind}, start int, n int, places int"), "runs")
-    several = runs.groupBy("m").agg(F.sum("places").alias("places")).where("places > 1").select("m", (F.col("places") > params.hot_places).alias("hot"))
-    wanted = runs.join(several, "m").groupBy("id").agg(F.collect_list(F.struct("m", "start", "n", "hot")).alias("runs"))
+    several = runs.groupBy("m").agg(F.sum("places").alias("places")).where("places > 1")
+    wanted = runs.join(several, "m", "left_semi").groupBy("id").agg(F.collect_list(F.struct("m", "start", "n")).alias("runs"))
     pieces = texts.join(wanted, "id").select("id", "text", "runs").mapInArrow(serving("substrings", _cutter(params)), f"m long, id {kind}, start int, n int, held binary")
     pieces = cut(pieces.withColumn("h", F.xxhash64("held")), "pieces")
     # A segment of repeating words is searched like any other and also counts as often as it stands.

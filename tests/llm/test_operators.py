@@ -15,7 +15,7 @@ from lakeproof.llm.lm_scoring import LmParams, lm_scores
 from lakeproof.llm.near_duplicates import near_duplicates
 from lakeproof.llm.quality_rules import js_distance, quality_rules
 from lakeproof.llm.sharding import ShardParams, shard_documents
-from lakeproof.llm.substrings import SubstringParams, parted, remove_repeats, repeated_windows
+from lakeproof.llm.substrings import SubstringParams, remove_repeats, repeated_windows
 from lakeproof.session import ship
 from lakeproof.llm.toxicity import fit, toxicity
 
@@ -170,29 +170,14 @@ def test_substrings(docs, nothing):
     assert {r.doc_id: r.n_removed for r in remove_repeats(docs, SubstringParams(shard_words=500)).collect()} == {i: r.n_removed for i, r in got.items()}
 
 
-def test_hot_passages(spark):
-    """A passage between many unlike neighbours, parted by its second least grams, gives the same rows."""
-    ship(spark)
-    common = prose(50, 70, 10**6)
-    texts = [prose(100 + i, 40, 10**6) + " " + common + " " + prose(300 + i, 40, 10**6) for i in range(40)] + [prose(60, 90), "x " * 200, None]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    plain, hot = ({r.doc_id: (r.n_removed, r.kept_sha256) for r in remove_repeats(df, SubstringParams(hot_places=n)).collect()} for n in (10**9, 1))
-    assert plain == hot and all(plain[i][0] >= 70 for i in range(40)) and plain[41][0] == 200
-    rng = np.random.default_rng(0)
-    p, h = SubstringParams(), rng.integers(0, 2**63, 60).astype(np.uint64)
-    parts = list(parted(h, 5, p))
-    assert [x[1] for x in parts] == np.cumsum([0, *[x[2] for x in parts]])[:-1].tolist() and sum(x[2] for x in parts) == 60 - 34
-
-
 def test_repeated_ids(spark):
     """Rows that share an id, equal or not, or have none: every row gives one, clean texts stay whole."""
     ship(spark)
     long, other = prose(70, 3_000, 10**6), prose(71, 80, 10**6)
     rows = [(1, long), (1, "short"), (1, None), (2, long), (3, other), (3, other), (None, other), (4, prose(72, 50, 10**6)), (None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for n in (10**9, 0):
-        got = remove_repeats(df, SubstringParams(hot_places=n)).collect()
-        assert len(got) == len(rows) and {r.doc_id: r.n_removed for r in got if r.doc_id in (2, 3, 4)} == {2: 3_000, 3: 80, 4: 0}
+    got = remove_repeats(df).collect()
+    assert len(got) == len(rows) and {r.doc_id: r.n_removed for r in got if r.doc_id in (2, 3, 4)} == {2: 3_000, 3: 80, 4: 0}
     near = near_duplicates(df).collect()
     assert len(near) == len(rows) and {r.doc_id: r.component_id for r in near if r.doc_id in (2, 3, 4)} == {2: 1, 3: 3, 4: 4}
     assert all(r.kept for r in near if r.doc_id is None)
