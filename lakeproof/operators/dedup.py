@@ -151,6 +151,17 @@ def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
     return placed.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_place")).drop("_part", "_before", "_place")
 
 
+def numbered_counts(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """``by, value, _upto``: every distinct value of each group with how many rows of the group have it or a lower one. Running sums are taken
+    over ranges of the values and moved by what lies before, so that no group is one task."""
+    equal = rows.groupBy(by, value).agg(F.count("*").alias("_n")).repartitionByRange(by, value).withColumn("_part", F.spark_partition_id())
+    equal = _held(equal)
+    parts = equal.groupBy(by, "_part").agg(F.sum("_n").alias("_s"))
+    before = parts.select(by, "_part", (F.sum("_s").over(W.partitionBy(by).orderBy("_part")) - F.col("_s")).alias("_before"))  # a row per group and range
+    inside = F.sum("_n").over(W.partitionBy(by, "_part").orderBy(value))
+    return equal.withColumn("_in", inside).join(F.broadcast(before), [by, "_part"]).select(by, value, (F.col("_in") + F.col("_before")).alias("_upto"))
+
+
 def group_numbers(labels: DataFrame) -> DataFrame:
     """``id, group_id, size`` of ``id, component``: groups of one too, the largest first, then by their least id."""
     groups = labels.groupBy("component").agg(F.count("*").alias("size"))

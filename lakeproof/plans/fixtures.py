@@ -138,3 +138,36 @@ def journal_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images that exist: all but every fifth of the defect class 5."""
     e = table(spark, sf_dir, "events").where("event_id % 50 != 5")
     return e.select(F.concat(F.col("event_id").cast("string"), F.lit(".jpg")).alias("file"), F.md5(F.col("event_id").cast("string").cast("binary")).alias("sha256"))
+
+
+def field_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field journal of events with all that a record may hold; every field is absent somewhere."""
+    e = table(spark, sf_dir, "events")
+    i = F.col("event_id")
+    pick = lambda k, *names: F.element_at(F.array(*map(F.lit, names)), (i % k % len(names) + 1).cast("int"))
+    record = F.struct(
+        i.cast("string").alias("record_id"),
+        F.struct(F.lit("x").alias("file"), F.lit("y").alias("sha256")).alias("image"),
+        F.struct(
+            (i % 12 - 1).cast("int").alias("top1_index"),
+            F.when(i % 9 != 0, (i % 101) / 101).alias("top1_confidence_calibrated"),
+            F.when(i % 2 == 0, F.col("value") / 100).alias("predictive_entropy"),
+            F.when(i % 8 != 3, i % 4 == 0).alias("abstained"),
+            F.struct(F.col("value").alias("end_to_end"), F.when(i % 3 == 0, F.col("value") / 3).alias("inference")).alias("latency_ms"),
+            F.when(i % 6 != 0, F.struct(pick(4, "cpu", "gpu").alias("delegate"))).alias("runtime"),
+            F.struct(pick(3, "int8", "float16", "float32").alias("variant"), F.array(*[F.lit(f"c{k}") for k in range(10)]).alias("class_order")).alias("model"),
+            F.struct(F.col("event_type").alias("device_model")).alias("device_state"),
+        ).alias("measurement"),
+        F.when(i % 5 != 0, F.struct(pick(7, "hand", "ground", "paper").alias("background"))).alias("context"),
+        F.when(i % 7 == 0, F.struct(pick(21, "correct", "incorrect", "unsure", "odd").alias("verdict"), F.when(i % 14 == 0, "expert").otherwise("lay").alias("annotator_expertise"), F.concat(F.lit("c"), (i % 10).cast("string")).alias("claimed_true_class"))).alias("annotation"),
+        F.when(i % 11 == 0, F.struct((i % 22 == 0).alias("verified"), F.concat(F.lit("c"), (i % 6).cast("string")).alias("expert_class"), pick(33, "agronomist", "pathologist").alias("expert_role"))).alias("expert_verification"),
+        F.struct((i % 10 != 4).alias("research_use_granted")).alias("consent"),
+    )
+    return e.select(F.to_json(record).alias("value"))
+
+
+#: CTEs of the same records: ``fa`` all of them, ``fc`` the consenting ones.
+FIELD_SQL = """fa AS (SELECT event_id AS i, event_type, value::DOUBLE AS value, event_id % 12 - 1 AS top, CASE WHEN event_id % 9 <> 0 THEN (event_id % 101) / 101.0::DOUBLE END AS confidence, CASE WHEN event_id % 2 = 0 THEN value::DOUBLE / 100 END AS entropy,
+coalesce(event_id % 8 <> 3 AND event_id % 4 = 0, false) AS abstained, CASE WHEN event_id % 3 = 0 THEN value::DOUBLE / 3 END AS inference, CASE WHEN event_id % 6 <> 0 THEN ['cpu', 'gpu'][event_id % 4 % 2 + 1] END AS delegate, ['int8', 'float16', 'float32'][event_id % 3 + 1] AS variant,
+CASE WHEN event_id % 5 <> 0 THEN ['hand', 'ground', 'paper'][event_id % 7 % 3 + 1] END AS background, CASE WHEN event_id % 7 = 0 THEN ['correct', 'incorrect', 'unsure', 'odd'][event_id % 21 % 4 + 1] END AS verdict, CASE WHEN event_id % 14 = 0 THEN 'expert' WHEN event_id % 7 = 0 THEN 'lay' END AS expertise,
+CASE WHEN event_id % 7 = 0 THEN 'c' || event_id % 10 END AS claimed, event_id % 22 = 0 AS verified, 'c' || event_id % 6 AS expert_class, ['agronomist', 'pathologist'][event_id % 33 % 2 + 1] AS role FROM events), fc AS (SELECT * FROM fa WHERE i % 10 <> 4)"""

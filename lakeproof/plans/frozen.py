@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeproof.operators import compare, resampling
+from lakeproof.operators import compare, fieldlog, resampling
 from lakeproof.plans import catalog as c
-from lakeproof.plans.fixtures import GAINS, preds, preds_sql, table
+from lakeproof.plans.fixtures import FIELD_SQL, GAINS, field_lines, preds, preds_sql, table
 from lakeproof.plans.stored import _folder
 from lakeproof.sources import arrays, files
 
@@ -168,3 +168,32 @@ def alignment_faults(spark, sf_dir):
     a = rows.where("test_index % 37 != 0")
     b = rows.where("test_index % 31 != 0").withColumn("y_true", F.when(F.col("test_index") % 41 == 0, F.col("y_true") + 1).otherwise(F.col("y_true")))
     return compare.alignment(a.unionByName(a.where("test_index % 43 = 0")), b)
+
+
+def _field(spark, sf_dir):
+    return fieldlog.parse(field_lines(spark, sf_dir)).where("reason is null")
+
+
+@query(
+    f"""WITH {FIELD_SQL}, m AS (SELECT unnest([{{'k': 'confidence', 'v': confidence}}, {{'k': 'entropy', 'v': entropy}}, {{'k': 'inference', 'v': inference}}, {{'k': 'end_to_end', 'v': value}}]) AS x FROM fc), l AS (SELECT x.k AS measure, list_sort(list(x.v)) AS v FROM m WHERE x.v IS NOT NULL GROUP BY 1)
+SELECT measure, len(v) AS n, round(list_median(v), 6) AS median, round(list_avg(v), 6) AS mean, round(v[least(len(v) - 1, floor(0.9::DOUBLE * len(v)))::INT + 1], 6) AS p90, round(v[least(len(v) - 1, floor(0.95::DOUBLE * len(v)))::INT + 1], 6) AS p95, round(v[1], 6) AS least, round(v[-1], 6) AS largest, round(list_stddev_pop(v), 6) AS sd FROM l"""
+)
+def field_measures(spark, sf_dir):
+    return rounded(fieldlog.field_measures(_field(spark, sf_dir)))
+
+
+@query(
+    f"""WITH {FIELD_SQL}, t AS (SELECT *, verdict IN ('correct', 'incorrect', 'unsure') AS annotated FROM fc), x AS (SELECT 'label_free' AS tier, unnest([{{'f': 'delegate', 'v': delegate}}, {{'f': 'variant', 'v': variant}}, {{'f': 'thermal_status', 'v': NULL}}, {{'f': 'background', 'v': background}}, {{'f': 'attached', 'v': NULL}}]) AS x FROM t
+UNION ALL SELECT 'annotated', unnest([{{'f': 'verdict', 'v': verdict}}, {{'f': 'expertise', 'v': expertise}}]) FROM t WHERE annotated UNION ALL SELECT 'incorrect', {{'f': 'claimed_true_class', 'v': claimed}} FROM t WHERE verdict = 'incorrect' UNION ALL SELECT 'expert', {{'f': 'role', 'v': role}} FROM t WHERE verified)
+SELECT tier, x.f AS field, x.v AS value, count(*) AS n FROM x GROUP BY 1, 2, 3"""
+)
+def field_counts(spark, sf_dir):
+    return fieldlog.field_counts(_field(spark, sf_dir))
+
+
+@query(
+    f"""WITH {FIELD_SQL} SELECT (SELECT count(*) FROM fa) AS records, count(*) AS consented, (SELECT count(*) FROM fa) - count(*) AS excluded, round(avg(abstained::INT), 6) AS abstention_rate, count(*) FILTER (verdict IN ('correct', 'incorrect', 'unsure')) AS annotated,
+round(count(*) FILTER (verdict = 'correct') / nullif(count(*) FILTER (verdict IN ('correct', 'incorrect')), 0)::DOUBLE, 6) AS agreement, count(*) FILTER (verified) AS expert_verified, round(count(*) FILTER (verified AND top BETWEEN 0 AND 9 AND 'c' || top = expert_class) / nullif(count(*) FILTER (verified), 0)::DOUBLE, 6) AS expert_accuracy FROM fc"""
+)
+def field_rates(spark, sf_dir):
+    return rounded(fieldlog.field_rates(_field(spark, sf_dir)))
