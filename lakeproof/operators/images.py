@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakeproof.functions.scalars import bound
 from lakeproof.session import ship
 
 
@@ -25,11 +26,14 @@ def contrast(pixels: Column) -> tuple[Column, Column]:
 
 def laplacian_variance(pixels: Column, width: int) -> Column:
     """Variance of the four-neighbour Laplacian over inner pixels, a measure of sharpness; null without inner pixels."""
-    inner = lambda i: (i % width > 0) & (i % width < width - 1) & (i >= width) & (i < F.size(pixels) - width)
-    at = lambda i: F.get(pixels, i)
-    values = F.transform(F.filter(F.sequence(F.lit(0), F.size(pixels) - 1), inner), lambda i: at(i - 1) + at(i + 1) + at(i - width) + at(i + width) - 4 * at(i))
-    mean, sd = contrast(values)
-    return F.when(F.size(values) > 0, sd * sd)
+
+    def values(px: Column) -> Column:
+        inner = lambda i: (i % width > 0) & (i % width < width - 1) & (i >= width) & (i < F.size(px) - width)
+        at = lambda i: F.get(px, i)
+        return F.transform(F.filter(F.sequence(F.lit(0), F.size(px) - 1), inner), lambda i: at(i - 1) + at(i + 1) + at(i - width) + at(i + width) - 4 * at(i))
+
+    # Bound, since an array that a lambda names is computed anew for every element.
+    return bound(bound(pixels, values), lambda v: F.when(F.size(v) > 0, F.pow(contrast(v)[1], F.lit(2.0))))
 
 
 def sharpness(variance: Column) -> Column:
