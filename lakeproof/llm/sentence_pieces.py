@@ -296,6 +296,10 @@ class PieceModel:
         held = self._parts.young.__getitem__
         return [b"".join(map(held, own)) for own in split]
 
+    def forget(self) -> None:
+        """Drop what is remembered: a worker that waits for its next task holds the model alone."""
+        self._parts, self._pairs = _Remembered(), _Remembered()
+
     def decode(self, ids: list[int]) -> str:
         surfaces = self.surfaces
         text = "".join([surfaces[i] for i in ids]).encode("utf-8", "surrogateescape").decode("utf-8", "replace")
@@ -336,6 +340,7 @@ def _encoder(model: bytes, rest: int, slice_rows: int = 1_000):
                 digests = [hashlib.sha256(x).hexdigest() for x in ids]
                 back = [own.decode(np.frombuffer(x, np.int32).tolist()) == t for x, t in zip(ids, texts)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:rest], pa.array(sizes), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)), pa.array(digests, pa.string()), pa.array(back, pa.bool_())], names=[*batch.schema.names[:rest], "n_tokens", "ids", "ids_sha256", "round_trip"])
+        own.forget()
 
     return run
 
