@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lakeproof.functions.hashing import digits_of, text_numbers
 from lakeproof.functions.scalars import argmax, safe_ratio
+from lakeproof.operators.dedup import _held, numbered
+from lakeproof.session import ship
 
 
 def judged(preds: DataFrame) -> DataFrame:
@@ -76,15 +81,69 @@ def calibration(rows: DataFrame, bins: int = 15) -> DataFrame:
     return first.crossJoin(F.broadcast(second))  # one row each
 
 
-def bootstrap(rows: DataFrame, draws: int, index_of, by: tuple[str, ...] = ()) -> DataFrame:
-    """Per resample ``draw`` of rows drawn with replacement: headline metrics. ``index_of(draw, i, n)`` gives the row drawn.
+#: Rows of a piece that Spark gathers, and pieces that a task holds at once (4 bytes a row).
+PIECE, PIECES = 65_536, 64
+#: Groups of draws, which tasks share.
+DRAW_GROUPS = 128
 
-    ``rows`` has ``y_true`` and ``y_pred``; rows are numbered by ``test_index``."""
-    numbered = rows.withColumn("at", F.row_number().over(W.orderBy("test_index")) - 1)  # of one test set
+
+def drawn_counts(rows: DataFrame, columns: tuple[str, ...], draws: int) -> DataFrame:
+    """``draw, *columns, n``: how often rows with these values are drawn when a resample draws as many rows as there are, with replacement.
+
+    The row drawn is the first 32 bits of the MD5 of ``draw:i`` modulo the number of rows, in the order of ``test_index``. Rows are numbered over
+    ranges and become arrays of the number of their values, in pieces; tasks take groups of draws and count in the pieces, at most
+    ``PIECES`` at once (more rows make more tasks, which hash again). Draws never become rows."""
+    ship(rows.sparkSession)
+    rows = rows.select("test_index", *columns)
     n = rows.count()
-    picks = rows.sparkSession.range(draws).select(F.col("id").alias("draw")).select("draw", F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("i"))
-    picks = picks.select("draw", index_of(F.col("draw"), F.col("i"), n).alias("at"))
-    return headline(confusion(picks.join(numbered, "at"), (*by, "draw")), (*by, "draw"))
+    kinds = _held(rows.groupBy(*columns).agg(F.count("*").alias("_n")).withColumn("cell", F.row_number().over(W.orderBy(*columns)) - 1))  # a row per combination of classes
+    same = lambda: [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in columns]
+    placed = numbered(rows, [F.col("test_index")], "at").alias("l").join(F.broadcast(kinds.alias("r")), same()).select((F.col("at") - 1).alias("at"), "cell")
+    pieces = placed.groupBy(F.floor(F.col("at") / PIECE).alias("piece")).agg(F.collect_list(F.struct("at", "cell")).alias("held"))
+    size = -(-draws // DRAW_GROUPS)
+    groups = rows.sparkSession.range(-(-draws // size)).withColumnRenamed("id", "group")
+    held = pieces.select("piece", F.floor(F.col("piece") / PIECES).alias("block"), F.transform("held", lambda x: x["at"]).alias("at"), F.transform("held", lambda x: x["cell"]).alias("cell")).crossJoin(F.broadcast(groups))
+    counts = held.groupBy("group", "block").applyInArrow(_counter(n, draws, size, PIECE * PIECES), "draw long, cell int, n long")
+    return counts.groupBy("draw", "cell").agg(F.sum("n").alias("n")).join(F.broadcast(kinds.drop("_n")), "cell").select("draw", *columns, "n")
+
+
+def _counter(n: int, draws: int, size: int, block_rows: int):
+    """Counts of a group of draws in one block of rows."""
+
+    def run(part: pa.Table) -> pa.Table:
+        first = part.column("block")[0].as_py() * block_rows
+        held = np.zeros(min(block_rows, n - first), np.int32)
+        for at, cell in zip(part.column("at"), part.column("cell")):
+            held[at.values.to_numpy() - first] = cell.values.to_numpy()
+        group, cells = part.column("group")[0].as_py(), int(held.max()) + 1
+        own = range(group * size, min((group + 1) * size, draws))
+        counts = np.zeros((len(own), cells), np.int64)
+        low = 0
+        while low < n:
+            high = min(low + 32_768, n, 10 ** len(str(low)))  # as many digits
+            tail = digits_of(low, high)
+            for k, d in enumerate(own):
+                spots = text_numbers(f"{d}:", tail).astype(np.int64) % n - first
+                if len(held) < n:
+                    spots = spots[(spots >= 0) & (spots < len(held))]
+                counts[k] += np.bincount(held[spots], minlength=cells)
+            low = high
+        k, c = np.nonzero(counts)
+        return pa.table({"draw": pa.array(k + own.start, pa.int64()), "cell": pa.array(c, pa.int32()), "n": counts[k, c]})
+
+    return run
+
+
+def bootstrap(rows: DataFrame, draws: int) -> DataFrame:
+    """Per resample ``draw``: headline metrics. ``rows`` has ``test_index, y_true, y_pred``."""
+    return headline(_held(drawn_counts(rows, ("y_true", "y_pred"), draws)), ("draw",))  # read twice, a row per draw and kind
+
+
+def paired_differences(rows: DataFrame, a: str, b: str, draws: int) -> DataFrame:
+    """``draw, diff``: accuracy by ``a`` less that by ``b``, on the same rows drawn."""
+    counts = drawn_counts(rows, ("y_true", a, b), draws)
+    right = lambda p: F.sum(F.when(F.col(p) == F.col("y_true"), F.col("n")).otherwise(0)).cast("double") / F.sum("n")
+    return counts.groupBy("draw").agg((right(a) - right(b)).alias("diff"))
 
 
 def interval(values: DataFrame, column: str, level: float = 0.95) -> DataFrame:

@@ -1,9 +1,11 @@
 """Bootstraps of 2000 draws against brute force; the grid of 400 points."""
 
+import collections
 import hashlib
 
 import numpy as np
 
+from lakeproof.functions.hashing import digits_of, text_numbers
 from lakeproof.operators import metrics
 from lakeproof.plans import catalog
 
@@ -33,3 +35,24 @@ def test_draws(spark, monkeypatch):
 def test_grid(spark):
     rows = catalog.QUERIES["temperature_grid_full"](spark, "/root/testdata/sf0.001").collect()
     assert sorted(r.step for r in rows) == list(range(400))
+
+
+def test_numbers():
+    """The first 32 bits of the MD5 of texts of every length that one block holds."""
+    for head, low, high in (("0:", 0, 10), ("1999:", 10, 100), ("7:", 995, 1000), ("12:", 1000, 1003), ("", 10_000, 10_003), ("123:", 123_456_789, 123_456_792), ("x" * 50, 10_000, 10_002)):
+        want = [int(hashlib.md5(f"{head}{i}".encode()).hexdigest()[:8], 16) for i in range(low, high)]
+        assert text_numbers(head, digits_of(low, high)).tolist() == want, (head, low)
+
+
+def test_counts_in_several_blocks(spark, monkeypatch):
+    """Rows dealt over pieces and blocks are drawn as in one; no table of rows becomes a literal of the plan."""
+    monkeypatch.setattr(metrics, "PIECE", 7)
+    monkeypatch.setattr(metrics, "PIECES", 3)
+    rows = [(i * 3, i % 4, None if i % 9 == 0 else i % 5) for i in range(100)]
+    df = spark.createDataFrame(rows[::-1], "test_index long, y_true int, y_pred int")
+    out = metrics.drawn_counts(df, ("y_true", "y_pred"), 150)
+    assert len(out._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+    got = {(r.draw, r.y_true, r.y_pred): r.n for r in out.collect()}
+    want = collections.Counter((d, *rows[int(hashlib.md5(f"{d}:{i}".encode()).hexdigest()[:8], 16) % 100][1:]) for d in range(150) for i in range(100))
+    assert got == want
+    assert metrics.drawn_counts(df.limit(0), ("y_true", "y_pred"), 5).count() == 0
