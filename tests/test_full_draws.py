@@ -56,3 +56,14 @@ def test_counts_in_several_blocks(spark, monkeypatch):
     want = collections.Counter((d, *rows[int(hashlib.md5(f"{d}:{i}".encode()).hexdigest()[:8], 16) % 100][1:]) for d in range(150) for i in range(100))
     assert got == want
     assert metrics.drawn_counts(df.limit(0), ("y_true", "y_pred"), 5).count() == 0
+
+
+def test_paired_draws(spark, monkeypatch):
+    """Both predictions are judged on the rows of one hash; an odd number of rows over several blocks."""
+    monkeypatch.setattr(metrics, "PIECE", 5)
+    monkeypatch.setattr(metrics, "PIECES", 2)
+    rows = [(i, i % 3, i % 4, (i * 7) % 3) for i in range(37)]
+    df = spark.createDataFrame(rows, "test_index long, y_true int, p int, q int")
+    got = {r.draw: r["diff"] for r in metrics.paired_differences(df, "p", "q", 140).collect()}
+    at = [[int(hashlib.md5(f"{d}:{i}".encode()).hexdigest()[:8], 16) % 37 for i in range(37)] for d in range(140)]
+    assert got == {d: sum(rows[k][1] == rows[k][2] for k in x) / 37 - sum(rows[k][1] == rows[k][3] for k in x) / 37 for d, x in enumerate(at)}
