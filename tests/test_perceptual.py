@@ -164,3 +164,14 @@ def test_groups_by_task_and_by_rounds(spark, monkeypatch):
     jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("sweep"))
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert 0 < jobs < 45
+
+
+def test_sweep_of_a_long_chain(spark):
+    """Three hundred rows in a chain are one group, in as many jobs as a short one."""
+    order = np.random.default_rng(6).permutation(300).tolist()
+    e = spark.createDataFrame([(min(p), max(p), i % 3) for i, p in enumerate(zip(order, order[1:]))], "a long, b long, distance int")
+    spark.sparkContext.setJobGroup("chain", "")
+    got = [tuple(r) for r in dedup.sweep(spark.range(300), e, [1, 2]).collect()]
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(got) == [(1, 200, 100, 100, 300, 3), (2, 299, 1, 1, 300, 300)] and 0 < jobs < 45
