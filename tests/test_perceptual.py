@@ -175,3 +175,14 @@ def test_sweep_of_a_long_chain(spark):
     jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain"))
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert sorted(got) == [(1, 200, 100, 100, 300, 3), (2, 299, 1, 1, 300, 300)] and 0 < jobs < 45
+
+
+def test_sweep_of_copies_only(spark):
+    """Exact copies in a long chain count as one group at every one of 33 thresholds, in as many jobs as at one; pairs of none."""
+    order = np.random.default_rng(7).permutation(200).tolist()
+    copies = spark.createDataFrame([(min(p), max(p)) for p in zip(order, order[1:])], "a long, b long")
+    spark.sparkContext.setJobGroup("copies", "")
+    got = dedup.sweep(spark.range(201), spark.createDataFrame([], "a long, b long, distance int"), list(range(0, 65, 2)), copies).collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("copies"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {tuple(r)[1:] for r in got} == {(0, 2, 1, 200, 200)} and len(got) == 33 and 0 < jobs < 45
