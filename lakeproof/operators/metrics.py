@@ -94,7 +94,7 @@ def drawn_counts(rows: DataFrame, columns: tuple[str, ...], draws: int) -> DataF
     ranges and become arrays of the number of their values, in pieces; tasks take groups of draws and count in the pieces, at most
     ``PIECES`` at once (more rows make more tasks, which hash again). Draws never become rows."""
     ship(rows.sparkSession)
-    rows = rows.select("test_index", *columns)
+    rows = _held(rows.select("test_index", *columns))  # counted, summed up and numbered
     n = rows.count()
     kinds = _held(rows.groupBy(*columns).agg(F.count("*").alias("_n")).withColumn("cell", F.row_number().over(W.orderBy(*columns)) - 1))  # a row per combination of classes
     same = lambda: [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in columns]

@@ -67,3 +67,17 @@ def test_paired_draws(spark, monkeypatch):
     got = {r.draw: r["diff"] for r in metrics.paired_differences(df, "p", "q", 140).collect()}
     at = [[int(hashlib.md5(f"{d}:{i}".encode()).hexdigest()[:8], 16) % 37 for i in range(37)] for d in range(140)]
     assert got == {d: sum(rows[k][1] == rows[k][2] for k in x) / 37 - sum(rows[k][1] == rows[k][3] for k in x) / 37 for d, x in enumerate(at)}
+
+
+def test_rows_are_computed_once(spark):
+    """Joined predictions are made once, however often the draws need them, and leave none of their plan to later jobs."""
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([(i, i % 3, i % 4, (i * 7) % 3) for i in range(37)], "test_index long, y_true int, p int, q int")
+    assert metrics.paired_differences(rows.mapInArrow(seen, rows.schema), "p", "q", 10).count() == 10
+    assert made.value == 37
